@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality
+from . import bpe, chat, packing, quality
 from .common import table
 
 
@@ -17,9 +17,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.read_back(chat.format_turns(turns.unionByName(chat.probe(spark)))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op6_packing": op6_packing}
-SQL: dict[str, str] = {"op2_quality": quality.ORACLE}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op6_packing": op6_packing}
+SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE}
