@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, quality
+from . import bpe, chat, packing, quality, secrets
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op6_packing": op6_packing}
-SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op6_packing": op6_packing, "op8_secrets": op8_secrets}
+SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE, "op8_secrets": secrets.oracle()}
