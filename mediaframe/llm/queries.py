@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, packing, quality, secrets
+from . import ann, bpe, chat, jaccard, packing, quality, secrets, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_turns(turns.unionByName(chat.probe(spark)))))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op5_jaccard": op5_jaccard, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op10_ann": op10_ann}
-SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE, "op8_secrets": secrets.oracle()}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op4_warc": op4_warc, "op5_jaccard": op5_jaccard, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op10_ann": op10_ann}
+SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE, "op4_warc": warc.ORACLE, "op8_secrets": secrets.oracle()}
