@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import prepare
-from .tokens import ByteBPE, loaded
+from .tokens import ByteBPE, grouped, loaded
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -30,10 +31,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         bpe = loaded(ByteBPE, path, pattern)
         for b in batches:
             ids, spans = [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                ids.append(bpe.encode(text))
-                spans.append([{"start": s, "end": e} for s, e in bpe.offsets(ids[-1], text)])
+            for texts in grouped(t.as_py() for t in b.column(1)):
+                for text, own in zip(texts, bpe.encode_many(texts)):
+                    ids.append(own.astype("i4"))
+                    spans.append([{"start": s, "end": e} for s, e in bpe.offsets(own, text)])
             kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(spans, kinds)], [id_col, "ids", "offsets"])
 
@@ -72,13 +73,13 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         names = {i: str(i) for i in bpe.bytes_of}
         for b in batches:
             n, ids_sha, text_sha, size = [], [], [], []
-            for t in b.column(1):
-                ids = bpe.encode(t.as_py() or "")
-                back = bpe.decode(ids)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(back).hexdigest())
-                size.append(len(back))
+            for texts in grouped(t.as_py() for t in b.column(1)):
+                for ids in map(np.ndarray.tolist, bpe.encode_many(texts)):
+                    back = bpe.decode(ids)
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(back).hexdigest())
+                    size.append(len(back))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(size, pa.int64())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import prepare
-from .tokens import WordBPE, loaded
+from .tokens import WordBPE, grouped, loaded
 
 CAPACITY = 4096
 #: Tails under this many tokens stay whole, in the class of the reciprocal of their length.
@@ -109,12 +109,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         kind_pa, rows = None, []
         for b in batches:
             kind_pa = b.schema.field(0).type
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.concatenate([np.array(bpe.encode(t.as_py() or ""), "<u4"), end])
-                start = 0
-                for n in cuts(len(ids), capacity):
-                    rows += bins.add((doc, start, n, ids[start : start + n], len(ids)))
-                    start += n
+            docs = iter(b.column(0).to_pylist())
+            for texts in grouped(t.as_py() for t in b.column(1)):
+                for doc, own in zip(docs, bpe.encode_many(texts)):
+                    ids, start = np.concatenate([own, end]), 0
+                    for n in cuts(len(ids), capacity):
+                        rows += bins.add((doc, start, n, ids[start : start + n], len(ids)))
+                        start += n
                 if len(rows) > 5000:
                     yield out(rows)
                     rows = []

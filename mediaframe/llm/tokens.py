@@ -8,13 +8,15 @@ Memory is bounded: caches are emptied at CACHE entries, and only an unbroken run
 from __future__ import annotations
 
 import base64
+import os
 import re
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Entries of each cache before it is emptied.
-CACHE = 400_000
+CACHE = 700_000
 #: Longer strings are not kept.
 KEEP_CHARS = 64
 
@@ -39,31 +41,70 @@ LATIN_TO_BYTES = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in ra
 
 
 class _Cached:
+    """Parts and, within them, pieces of simple characters, each with its ids as little-endian 32-bit numbers."""
+
     def __init__(self) -> None:
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = tuple([t.id for t in self.model.tokenize(piece.translate(LATIN_TO_BYTES))])
-            if len(piece) <= KEEP_CHARS:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
-    def _all(self, parts: list[str], encode) -> list[int]:
-        known = self.parts
-        if len(known) + len(parts) > CACHE:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of new parts: all pieces that are new too go through the tokenizer in one batch."""
+        known, split = self.pieces, {}
+        for p in parts:
+            split[p] = self.split(self.form(p)) if self.simple(p) else None
+        new = {x for own in split.values() if own for x in own}.difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = {x for own in split.values() if own for x in own}
+        order = list(new)
+        for at in range(0, len(order), 2000):
+            some = order[at : at + 2000]
+            got = self.bare.encode_batch_fast([x.translate(LATIN_TO_BYTES) for x in some], add_special_tokens=False)
+            known.update(zip(some, [array("I", e.ids).tobytes() for e in got]))
+        out = {}
+        for p, own in split.items():
+            out[p] = b"".join(map(known.__getitem__, own)) if own is not None else array("I", self.whole.encode(self.context(p), add_special_tokens=False).ids).tobytes()
+        for x in order:
+            if len(x) > KEEP_CHARS:
+                del known[x]
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Give it texts of about a megabyte together."""
+        known, rows, missing = self.parts, [], set()
+        for t in texts:
+            parts = self.cut(t)
+            got = list(map(known.get, parts))
+            if None in got:
+                missing.update([p for p, g in zip(parts, got) if g is None])
+            rows.append((parts, got))
+        new = self._learn(missing) if missing else {}
+        out = []
+        for parts, got in rows:
+            if None in got:
+                got = [new[p] if g is None else g for p, g in zip(parts, got)]
+            out.append(np.frombuffer(b"".join(got), "<u4"))
+        if len(known) + len(new) > CACHE:
             known.clear()
-        for p in set(parts).difference(known):
-            known[p] = encode(p)
-        ids = list(chain.from_iterable(map(known.__getitem__, parts)))
-        if max(map(len, parts), default=0) > KEEP_CHARS:
-            for p in {p for p in parts if len(p) > KEEP_CHARS}:
-                del known[p]
-        return ids
+        known.update({p: x for p, x in new.items() if len(p) <= KEEP_CHARS})
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+
+def grouped(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts, null as empty, in lists of about `chars` characters."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t or "")
+        size += len(now[-1])
+        if size >= chars:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
 
 
 class ByteBPE(_Cached):
@@ -98,30 +139,30 @@ class ByteBPE(_Cached):
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
         #: The pattern for texts of printable ASCII, Latin-1 letters, spaces and line ends, where Python's classes are the same.
-        self.simple = re.compile(rf"[ \n!-~À-ÖØ-öø-ÿ]*").fullmatch
+        self.simple = re.compile("\0?[ \n!-~À-ÖØ-öø-ÿ]*").fullmatch
+        self.bare = Tokenizer(self.model)
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+").findall
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        if self.simple(part):
-            return tuple(chain.from_iterable(map(self._piece, self.split(part))))
-        return tuple(self.whole.encode(part, add_special_tokens=False).ids)
+    #: A part stands after the space that was cut off before it; the first of a text comes with a mark instead.
+    def cut(self, text: str) -> list[str]:
+        parts = CUT.split(text)
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    def form(self, part: str) -> str:
+        return part[1:] if part[:1] == "\0" else " " + part
 
-    def encode(self, text: str) -> list[int]:
-        first, *rest = CUT.split(text)
-        ids = list(self._part(first))
-        if rest:
-            ids += self._all(rest, lambda p: self._part(" " + p))
-        return ids
+    context = form
 
-    def offsets(self, ids: list[int], text: str) -> list[tuple[int, int]]:
+    def offsets(self, ids: np.ndarray, text: str) -> list[tuple[int, int]]:
         """Code points [start, end) that each token touches; tokens that split a character share it."""
         raw = np.frombuffer(text.encode(), np.uint8)
         char_at = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum(self.lengths[np.asarray(ids, np.int64)]) if ids else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if ids else ends
-        return list(zip(char_at[starts].tolist(), (char_at[ends - 1] + 1).tolist())) if ids else []
+        ends = np.cumsum(self.lengths[ids]) if len(ids) else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ids) else ends
+        return list(zip(char_at[starts].tolist(), (char_at[ends - 1] + 1).tolist())) if len(ids) else []
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids. Characters that are split over tokens come together here, before anything reads them as UTF-8."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -134,18 +175,19 @@ class WordBPE(_Cached):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.simple = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.bare = Tokenizer(self.whole.model)
+        self.simple = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+").fullmatch
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-        self.spaces = re.compile(r"[\x20\x09-\x0D]+").split
+        self.form = str.lower
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        if "<|" not in part and self.simple(part):
-            return tuple(chain.from_iterable(map(self._piece, self.split(part.lower()))))
-        return tuple(self.whole.encode(part, add_special_tokens=False).ids)
+    def context(self, part: str) -> str:
+        return part
 
-    def encode(self, text: str) -> list[int]:
-        return self._all([p for p in self.spaces(text) if p], self._part)
+    def cut(self, text: str) -> list[str]:
+        # str.split also cuts at U+001C to U+001F, which are no white space to the tokenizer
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [p for p in re.split(r"[\x20\x09-\x0D]+", text) if p]
+        return text.split()
 
 
 _loaded: dict[tuple, object] = {}
