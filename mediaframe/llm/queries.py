@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, jaccard, packing, quality, secrets, warc
+from . import ann, bpe, chat, html_extract, jaccard, packing, quality, secrets, sharding, warc
 from .common import table
 
 
@@ -35,6 +35,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sharding.shard(table(spark, sf_dir, "documents"))
+    text = F.col("text")
+    return kept.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -47,5 +53,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op4_warc": op4_warc, "op5_jaccard": op5_jaccard, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_ann": op10_ann}
-SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE, "op4_warc": warc.ORACLE, "op8_secrets": secrets.oracle()}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_quality": op2_quality, "op3_chat_format": op3_chat_format, "op4_warc": op4_warc, "op5_jaccard": op5_jaccard, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_ann": op10_ann}
+SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op3_chat_format": chat.ORACLE, "op4_warc": warc.ORACLE, "op7_sharding": sharding.ORACLE, "op8_secrets": secrets.oracle()}
