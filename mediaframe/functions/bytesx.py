@@ -26,8 +26,13 @@ def be(b: Column, offset: Column | int, size: int) -> Column:
     return F.conv(F.hex(part(b, offset, size)), 16, 10).try_cast("bigint")
 
 
+def flipped(b: Column) -> Column:
+    """The bytes in the other order. (reverse() takes BINARY for text here, so it goes by pairs of hex digits.)"""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(b), F.lit("(..)"), 1)), ""))
+
+
 def le(b: Column, offset: Column | int, size: int) -> Column:
-    return F.conv(F.hex(F.reverse(part(b, offset, size))), 16, 10).try_cast("bigint")
+    return F.conv(F.hex(flipped(part(b, offset, size))), 16, 10).try_cast("bigint")
 
 
 def put_be(v: Column | int, size: int) -> Column:
@@ -35,7 +40,7 @@ def put_be(v: Column | int, size: int) -> Column:
 
 
 def put_le(v: Column | int, size: int) -> Column:
-    return F.reverse(put_be(v, size))
+    return flipped(put_be(v, size))
 
 
 def raw(data: bytes | str) -> Column:

@@ -113,15 +113,15 @@ def falling(df: DataFrame, by: list[str], order: list[str], rank: Column) -> Dat
     return df.withColumn("__r", rank).withColumn("__p", F.lag("__r").over(w)).where("__r < __p").drop("__r", "__p")
 
 
-def progression(scans: DataFrame, by: list[str], order: str, ah: str, al: str) -> DataFrame:
+def progression(scans: DataFrame, by: list[str], order: list[str], ah: str, al: str) -> DataFrame:
     """Scans that refine what was not sent: the high bit must be the low bit of the scan before, and 0 in the first."""
-    w = Window.partitionBy(*by).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(*order)
     return scans.withColumn("before", F.lag(al).over(w)).where(F.col(ah) != F.coalesce("before", F.lit(0)))
 
 
-def running_offsets(df: DataFrame, by: list[str], order: str, size: Column, gap: Column | int = 0) -> DataFrame:
+def running_offsets(df: DataFrame, by: list[str], order: list[str], size: Column, gap: Column | int = 0) -> DataFrame:
     """df with start: sum of the sizes and gaps before."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     one = size + gap if not isinstance(gap, int) else size + F.lit(gap)
     return df.withColumn("start", F.coalesce(F.sum(one.cast("bigint")).over(w), F.lit(0)))
 
