@@ -10,10 +10,11 @@ over all documents in a table of fixed size. That gives two kinds of keys:
 
 The boundary is where the keys and the expected list entries cost least, from the sizes of all sets.
 
-Lists of few sets give all their pairs. A longer list gives the pairs of its members with one leader, in rounds with
-other leaders: members that are in one class already need no further test, so a group of thousands of copies costs
-what its lists are long, not their square. After the rounds, every pair that shares a list and is not yet in one class
-is tested in blocks, so no link between classes is lost. All tests are exact, on whole sets.
+Lists of few sets give all their pairs. The members of a longer list are first tested with a few leaders of it, which
+joins most of a group of copies. Those of its members that are in different classes then meet in blocks, where inverted
+lists of whole sets are scanned: what comes out are links between classes, as many as connect them, never the pairs of a
+group. So no link between classes is lost, and what is known to be one class is not compared again. All tests are
+exact, on whole sets.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ COUNTERS, PIECES = 1 << 20, 16
 #: Candidate boundaries between light and heavy sets, in elements.
 BOUNDARIES = (0, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Lists up to this length give all pairs at once.
-SHORT_LIST = 6
-#: Rounds of leaders for longer lists before their remaining pairs are tested.
-ROUNDS = 4
+SHORT_LIST = 10
+#: Leaders that all members of a longer list are tested with at first.
+LEADERS = 3
+#: Edges that a task of the components takes at least: small graphs are not spread over all partitions.
+EDGES_PER_TASK = 20_000
 #: Documents up to which the ids of candidates are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members of a long list that meet in one task when its remaining pairs are listed.
-BLOCK = 128
+#: Elements of the sets of a block; two blocks meet in one task.
+BLOCK_ELEMENTS = 150_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -164,18 +167,18 @@ def components(edges: DataFrame, what: str = "components") -> tuple[DataFrame, l
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, path = written(e, what)
-    paths, before = [path], None
+    paths, before, tasks = [path], None, 1 + e.count() // EDGES_PER_TASK
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         m = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
         large = both.withColumn("m", m).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # (b, m) of the larger neighbours; an edge to the smallest neighbour comes back with the small stars
         keep = both.withColumn("m", m).where("m < a").select("a", F.col("m").alias("b"))
-        large = large.unionByName(keep).distinct()
+        large = large.unionByName(keep).distinct().coalesce(tasks)
         m = F.min("b").over(Window.partitionBy("a"))
         small = large.withColumn("m", m)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        e, path = written(small, what)
+        e, path = written(small.coalesce(tasks), what)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         drop_path(e.sparkSession, paths.pop())
         paths.append(path)
@@ -215,12 +218,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the keys
 
-    members, members_path = written(lists.select("doc").distinct(), "members")
+    pairs, groups = _candidates(lists, light)
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(groups.select("doc")).distinct()
+    members, members_path = written(members, "members")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     whole, whole_path = written(_with_sets(texts.join(wanted, "doc", "left_semi"), "doc", "text", "s", lambda s: s), "whole")
 
-    classes, links_path = _link(lists, whole)
+    classes = _link(pairs, groups, whole)
     old = [equal_path, lists_path, members_path, whole_path]
     # Sets that share an id are one document: their classes come together.
     result = _finish(sets, reps, classes)
@@ -242,61 +247,107 @@ def _finish(sets: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.join(several, "id", "left").select("id", "n", "component")
 
 
-def _link(lists: DataFrame, whole: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(v, c) of all documents in a class of two or more."""
-    spark = lists.sparkSession
+def _candidates(lists: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that may link, of short lists all and of longer ones those with their leaders; and groups (g, doc, n) of the longer ones.
+
+    Sets with p of their n elements as keys have at most c + max(n - p, n2 - p2) elements in common, where c is the number of
+    keys they share: those counted in short lists and at most as many as both have in longer ones. Pairs that cannot reach
+    the intersection they need are left out.
+    """
     near = "5 * least(n, n2) >= 4 * greatest(n, n2)"
-    classes, links, paths, tested = None, None, [], []
-    for turn in range(ROUNDS + 1):
-        own = lists.where(f"len > {SHORT_LIST}") if turn else lists
-        if classes is not None:
-            own = own.join(classes, own.doc == classes.v, "left").select("key", "doc", "n", "len", F.coalesce("c", "doc").alias("c"))
-            by = Window.partitionBy("key")
-            own = own.withColumns({"lo": F.min("c").over(by), "hi": F.max("c").over(by)}).where("lo < hi")
-            own, p = written(own.select("key", "doc", "n", "len", "c"), "open")
-            paths.append(p)
-            if own.isEmpty():
-                break
-        else:
-            own = own.withColumn("c", F.col("doc"))
-        long = own.where(f"len > {SHORT_LIST}")
-        if turn == ROUNDS:
-            pairs = _blocks(long).where(f"c <> c2 AND {near}")
-        else:
-            first = Window.partitionBy("key").orderBy(F.xxhash64("key", "doc", F.lit(turn)), "doc")
-            led = long.withColumns({"d2": F.first("doc").over(first), "n2": F.first("n").over(first), "c2": F.first("c").over(first)})
-            pairs = led.where(f"c <> c2 AND {near}").select("doc", "d2")
-        if not turn:
-            short = own.where(f"len <= {SHORT_LIST}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("m"))
-            two = short.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.doc AS doc, x.n AS n, y.doc AS d2, y.n AS n2))))")).alias("p")).select("p.*")
-            pairs = pairs.unionByName(two.where(near).select("doc", "d2"))
-        pairs = pairs.where("doc <> d2").select(F.greatest("doc", "d2").alias("a"), F.least("doc", "d2").alias("b")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs, p = written(pairs, "pairs")
-        paths.append(p)
-        tested.append(pairs)
-        left = pairs.join(whole.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-        both = left.join(whole.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where("100 * i >= 80 * (size(sa) + size(sb) - i)").select("a", "b")
-        found, p = written(both, "links")
-        paths.append(p)
-        links = found if links is None else links.unionByName(found)
-        classes, p = components(links)
-        paths += p
-    return classes, paths
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """All pairs of a list's members that are in different classes, by pairs of blocks: a task holds two blocks of a list, never the list."""
-    at = Window.partitionBy("key").orderBy("doc")
-    rows = rows.withColumn("blk", F.floor((F.row_number().over(at) - 1) / BLOCK))
-    blocks = rows.groupBy("key", "blk").agg(F.collect_list(F.struct("doc", "n", "c")).alias("m"))
-    last = rows.groupBy("key").agg(F.max("blk").alias("last"))
-    # block i meets the blocks j >= i: a copy of each goes to every (i, j)
-    put = blocks.join(last, "key").select("key", "m", "blk", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("o"))
-    put = put.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "m")
-    met = put.groupBy("key", "i", "j").agg(F.sort_array(F.collect_list(F.struct("blk", "m"))).alias("g"))
-    met = met.select(F.expr("g[0].m").alias("x"), F.expr("g[size(g) - 1].m").alias("y"))
-    pairs = "flatten(transform(x, p -> transform(filter(y, q -> q.c <> p.c AND q.doc <> p.doc), q -> struct(p.doc AS doc, p.n AS n, p.c AS c, q.doc AS d2, q.n AS n2, q.c AS c2))))"
-    return met.select(F.explode(F.expr(pairs)).alias("p")).select("p.*")
+    lists = lists.withColumn("more", F.count_if(F.col("len") > SHORT_LIST).over(Window.partitionBy("doc")).cast("int"))
+    lists, lists_path = written(lists, "counted")
+    long = lists.where(f"len > {SHORT_LIST}")
+    # A leader is the member with the smallest hash, whatever the list: lists of the same members share it.
+    by = Window.partitionBy("key")
+    best = [F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("more").alias("m2"))).over(by) for k in range(LEADERS)]
+    led = long.withColumn("lead", F.array(*best)).select("doc", "n", "more", F.col("lead")[0]["d2"].alias("g"), F.explode(F.array_distinct("lead")).alias("l"))
+    led, led_path = written(led.distinct(), "led")
+    star = led.select("doc", "n", "more", "l.d2", "l.n2", "l.m2", F.lit(0).alias("c"))
+    short = lists.where(f"len <= {SHORT_LIST}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "more"))).alias("m"))
+    two = short.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.doc AS doc, x.n AS n, x.more AS more, y.doc AS d2, y.n AS n2, y.more AS m2, 1 AS c))))")).alias("p")).select("p.*")
+    both = two.unionByName(star).where(f"doc <> d2 AND {near}")
+    swap = F.col("doc") > F.col("d2")
+    ordered = both.select(
+        F.least("doc", "d2").alias("b"), F.greatest("doc", "d2").alias("a"), F.when(swap, F.col("n2")).otherwise(F.col("n")).alias("nb"), F.when(swap, F.col("n")).otherwise(F.col("n2")).alias("na"),
+        F.least("more", "m2").alias("m"), "c",
+    )
+    found = ordered.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("m").alias("m"))
+    reach = "9 * (c + m + greatest(na - (na div 5 + 1), nb - (nb div 5 + 1))) >= 4 * (na + nb)"
+    pairs, _ = written(found.where(f"least(na, nb) <= {light} OR {reach}").select("a", "b").distinct(), "pairs")
+    groups, _ = written(led.select("g", "doc", "n").distinct(), "groups")
+    for p in (lists_path, led_path):
+        drop_path(lists.sparkSession, p)
+    return pairs, groups
+
+
+def _link(pairs: DataFrame, groups: DataFrame, whole: DataFrame) -> DataFrame:
+    """(v, c) of all documents in a class of two or more."""
+    left = pairs.join(whole.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(whole.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where("100 * i >= 80 * (size(sa) + size(sb) - i)").select("a", "b")
+    links, _ = written(both, "links")
+    classes, _ = components(links)
+    # What shares a longer list, and is not yet in one class, meets in the group of the list's first leader.
+    groups = groups.join(classes, F.col("doc") == F.col("v"), "left").select("g", "doc", "n", F.coalesce("c", "doc").alias("c"))
+    groups, _ = written(groups, "open-groups")
+    rest, _ = written(_scan(groups, whole), "rest")
+    if not rest.isEmpty():
+        classes, _ = components(links.unionByName(rest))
+    return classes
+
+
+def _scan(groups: DataFrame, whole: DataFrame) -> DataFrame:
+    """(a, b): links between classes within each group, enough to connect what is connected.
+
+    Members are dealt into blocks by the size of their sets, and each two blocks of a group meet in one task. There
+    the inverted lists of one block's elements are scanned for each set of the other, which counts whole intersections.
+    """
+    open_ = groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    at = Window.partitionBy("g").orderBy("c", "doc").rowsBetween(Window.unboundedPreceding, 0)
+    rows = groups.join(open_, "g").withColumn("blk", F.floor(F.sum("n").over(at) / BLOCK_ELEMENTS))
+    last = rows.groupBy("g").agg(F.max("blk").alias("last"))
+    put = rows.join(last, "g").select("g", "doc", "c", "blk", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("o"))
+    put = put.select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc", "c").join(whole.select("doc", "s"), "doc")
+
+    def meet(key, t):
+        docs, c, blk = (t[x].to_numpy() for x in ("doc", "c", "blk"))
+        sets = t["s"].combine_chunks()
+        ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        sizes = np.diff(ends)
+        left = np.flatnonzero(blk == key[1].as_py())
+        right = np.flatnonzero(blk == key[2].as_py())
+        tokens = np.concatenate([values[ends[k] : ends[k + 1]] for k in right]) if len(right) else values[:0]
+        owner = np.repeat(np.arange(len(right)), sizes[right])
+        order = np.argsort(tokens, kind="stable")
+        owner = owner[order]
+        known, first, count = np.unique(tokens[order], return_index=True, return_counts=True)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out: list[tuple[int, int]] = []
+        for a in left if len(known) else ():
+            if (c[right] == c[a]).all():
+                continue
+            own = values[ends[a] : ends[a + 1]]
+            place = np.searchsorted(known, own)
+            place = place[(place < len(known)) & (known[np.minimum(place, len(known) - 1)] == own)]
+            if not len(place):
+                continue
+            n = count[place]
+            spots = np.repeat(first[place] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[spots], minlength=len(right))
+            linked = (100 * common >= 80 * (sizes[a] + sizes[right] - common)) & (c[right] != c[a])
+            for b in right[linked]:
+                x, y = find(int(c[a])), find(int(c[b]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(docs[a]), int(docs[b])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return put.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long")
