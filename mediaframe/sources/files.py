@@ -25,7 +25,7 @@ def is_candidate(path: Column) -> Column:
 def scan(spark: SparkSession, folders: list[str], named: list[str] | None = None, skip=None, content: bool = True) -> DataFrame:
     """files: path, root (null of directly named ones), ext, length, modificationTime, content. One row per path, the first it was given by.
 
-    Content is a column of its own, so queries on names and sizes do not read it; skip(path) → Column leaves files out.
+    Spark's file source leaves out files without any bytes. Content is a column of its own, so queries on names and sizes do not read it; skip(path) → Column leaves files out.
     """
     out = None
     for i, (root, paths) in enumerate([*((f, [f]) for f in folders), *([(None, named)] if named else [])]):
