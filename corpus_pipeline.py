@@ -27,8 +27,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id or without words are in no class and stay.
     """
     names = docs.columns
-    classes = jaccard.join(docs).select("doc_id", "component_id").where("doc_id <> component_id").distinct()
-    left = docs.join(classes.select("doc_id"), "doc_id", "left_anti").select(*names)
+    others = jaccard.join(docs).select("doc_id", "component_id").where("doc_id <> component_id").select("doc_id").distinct()
+    others, _ = written(others, "near-copies")
+    # Ids are 8 bytes each: up to the bound they are broadcast and texts stay where they are, beyond it the join shuffles.
+    gone = F.broadcast(others) if others.count() <= jaccard.BROADCAST_IDS else others
+    left = docs.join(gone, "doc_id", "left_anti").select(*names)
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
     alone = left.where("doc_id IS NULL")
     return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(alone)
 
