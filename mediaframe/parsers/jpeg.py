@@ -334,3 +334,45 @@ def estimate_quality(table: list[int]) -> int:
     """The quality whose scaled standard table has the nearest mean; of equals the lowest."""
     mean = sum(table) / 64
     return min(range(1, 101), key=lambda q: (abs(sum(scaled_table(q)) / 64 - mean), q))
+
+
+def rewritten_index(payload: bytes, pictures: list[Picture], base: int) -> bytes:
+    """The MPF index with the places and sizes of `pictures`; as many as it lists."""
+    body = payload.removeprefix(b"MPF\0")
+    t = Tiff(body)
+    entry = next((e for e in t.ifd(t.first) if e.tag == 0xB002), None)
+    if entry is None or len(entry.value) != 16 * len(pictures):
+        raise Malformed("MPF: another number of entries")
+    order = ">" if t.big else "<"
+    raw = bytearray(entry.value)
+    for k, p in enumerate(pictures):
+        struct.pack_into(order + "2I", raw, 16 * k + 4, p.size, p.start - base if p.start else 0)
+    return payload[: len(payload) - len(body)] + body[: entry.value_offset] + bytes(raw) + body[entry.value_offset + len(raw) :]
+
+
+def assembled(images: list[bytes], gaps: list[bytes] | None = None) -> bytes:
+    """A file of several images: the index of the first, if it has one, says where they are now."""
+    gaps = gaps or [b""] * len(images)
+    places, at = [], 0
+    for k, (image, gap) in enumerate(zip(images, gaps)):
+        places.append(Picture(at if k else 0, len(image)))
+        at += len(image) + len(gap)
+    first = images[0]
+    for s in headers(first)[0]:
+        if s.kind == "multiPicture":
+            new = rewritten_index(s.payload, places, s.offset + 8)
+            first = first[: s.offset + 4] + new + first[s.offset + s.size :]
+            break
+    return b"".join(x for pair in zip([first, *images[1:]], gaps) for x in pair)
+
+
+def index_violations(data: bytes) -> list[tuple[str, int]]:
+    """Entries of the index that differ from where the images are."""
+    found = layout(data)
+    for s in headers(data)[0]:
+        if s.kind == "multiPicture":
+            listed = multi_picture(s.payload, s.offset + 8)
+            if len(listed) != len(found.images):
+                return [("index lists another number of images", -1)]
+            return [("index differs from the image", k) for k, (p, (a, b)) in enumerate(zip(listed, found.images)) if (p.start, p.size) != (a, b - a)]
+    return []

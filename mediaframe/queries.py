@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import bytesx as bx
 from .functions import scalars as sc
-from .operators import admission, compare, naming, report, rewrite, selection, tables
+from .operators import admission, compare, fields, naming, report, rewrite, selection, tables
 from .parsers import jpeg
 from .plans import planner, policy
 
@@ -485,3 +485,11 @@ def webp_violations(spark, d):
     files = _t(spark, d, "documents").select("doc_id", content.alias("content"))
     got = tables.violations(files, ["doc_id"], "webp").select("doc_id", "rule")
     return got.withColumn("rule", F.when(F.col("rule") == "VP8L out of order", "XMP out of order").otherwise(F.col("rule")))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 1 AS \"privateData\" FROM documents")
+def private_data(spark, d):
+    """Files with one text each, of image information, of rights, of neither: what is private where only rights are kept."""
+    keyword = F.element_at(F.array(*[bx.raw(k) for k in (b"Source", b"Author", b"Xxxxxx")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = _t(spark, d, "documents").select("doc_id", bx.png(bx.png_header(1, 1), bx.png_chunk("tEXt", F.concat(keyword, bx.raw(b"\0"), _text()))).alias("content"))
+    return fields.holds_private(fields.fields(files, ["doc_id"], "png"), ["doc_id"], "copyright")

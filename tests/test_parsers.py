@@ -296,3 +296,25 @@ def test_mutated_files_never_crash():
                     f(bad)
                 except Malformed:
                     pass
+
+
+def test_assembled_files_have_a_right_index():
+    entries = lambda n: b"".join(struct.pack("<3I2H", 0, 1, 1 if k else 0, 0, 0) for k in range(n))
+    index = lambda n: b"MPF\0" + tiff.write([(0xB000, 7, 4, b"0100"), (0xB002, 7, 16 * n, entries(n))])
+    whole = jpeg.assembled([photo([(0xE2, index(2))]), photo()], [b"\0\0", b""])
+    assert jpeg.index_violations(whole) == [] and jpeg.layout(whole).problem == "" and jpeg.layout(whole).gaps == [2, 0]
+    assert jpeg.index_violations(whole.replace(b"\0\0\xff\xd8", b"\0\0\0\xff\xd8")) != []
+    with pytest.raises(Malformed):
+        jpeg.assembled([photo([(0xE2, index(3))]), photo()])
+
+
+def test_fields_of_files():
+    from mediaframe.operators import fields
+
+    exif = tiff.write([(0x010F, 2, 6, b"Maker\0"), (0x0131, 2, 9, b"Software\0")])
+    got = fields.of_png(grey(extra=[("eXIf", exif), ("tEXt", b"Author\0me"), ("iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + PACKET)]))
+    assert {(f[0], f[2], f[4]) for f in got} == {("exif", "0x010F", 3), ("exif", "0x0131", 8), ("png_text", "Author", 2), ("xmp", "CreatorTool", 8), ("xmp", "format", 3), ("xmp", "creator", 2), ("xmp", "title", 3)}
+    iim = iptc.write_resources([iptc.Resource(0x0404, b"", b"\x1c\x02\x50\0\x02me")])
+    got = fields.of_jpeg(photo([(0xED, b"Photoshop 3.0\0" + iim), (0xFE, b"hi"), (0xE1, b"Exif\0\0broken")]))
+    assert [(f[0], f[4]) for f in got] == [("iim", 2), ("comment", 8), ("exif", 8)]
+    assert fields.of_webp(riff.write([("VP8L", b"\x2f\0\0\0\0"), ("EXIF", exif)]))[0][2] == "0x010F"
