@@ -54,7 +54,7 @@ class Index:
         self.dim, self.rows, self.sample = sample.shape[1], rows, sample
         self.width = PARTS * math.ceil(self.dim / PARTS)
         self.centroids = _kmeans(sample, max(1, min(len(sample) // 64, int(math.sqrt(rows)))), rng)
-        rest = self._padded(sample - self.centroids[self.assign(sample)])
+        rest, _ = self._directions(self._padded(sample - self.centroids[self.assign(sample)]))
         d = self.width // PARTS
         self.books = [_kmeans(rest[:, m * d : (m + 1) * d], WORDS, rng) for m in range(PARTS)]
         self.probes = self._probes(k)
@@ -67,11 +67,17 @@ class Index:
     def assign(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1), 1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.assign(x)
-        rest, d = self._padded(x - self.centroids[lists]), self.width // PARTS
+    @staticmethod
+    def _directions(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals as directions and lengths: the error of a code is in proportion to its own residual, so crowded places keep their order."""
+        size = np.sqrt((rest * rest).sum(1))
+        return rest / np.where(size > 0, size, 1)[:, None], size
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists, d = self.assign(x), self.width // PARTS
+        rest, size = self._directions(self._padded(x - self.centroids[lists]))
         codes = [np.argmax(rest[:, m * d : (m + 1) * d] @ b.T - 0.5 * (b * b).sum(1), 1) for m, b in enumerate(self.books)]
-        return lists, np.stack(codes, 1).astype(np.uint8)
+        return lists, np.stack(codes, 1).astype(np.uint8), size.astype(np.float32)
 
     def _probes(self, k: int) -> int:
         q = self.sample[:256]
@@ -89,13 +95,13 @@ class Index:
         s = q @ self.sample.T
         return np.partition(s, len(self.sample) - 1 - self.bar_rank, 1)[:, len(self.sample) - 1 - self.bar_rank]
 
-    def scores(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+    def scores(self, q: np.ndarray, which: int, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Approximate inner products of queries with the rows of a list, from the queries' tables."""
         d, wide = self.width // PARTS, self._padded(q)
-        out = np.repeat((q @ self.centroids[which])[:, None], len(codes), 1)
+        out = np.zeros((len(q), len(codes)), np.float32)
         for m, b in enumerate(self.books):
             out += (wide[:, m * d : (m + 1) * d] @ b.T)[:, codes[:, m]]
-        return out
+        return out * size + (q @ self.centroids[which])[:, None]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -125,8 +131,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def index(batches):
         for b in batches:
-            lists, codes = shared.value.encode(_matrix(b.column(1), dim)) if b.num_rows else (np.zeros(0, int), np.zeros((0, PARTS), np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "id", "code"])
+            lists, codes, size = shared.value.encode(_matrix(b.column(1), dim)) if b.num_rows else (np.zeros(0, int), np.zeros((0, PARTS), np.uint8), np.zeros(0, np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size, pa.float32())], ["list", "id", "code", "size"])
 
     def probe(batches):
         for b in batches:
@@ -136,11 +142,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def meet(key, left, right):
         ids, codes = left["id"].to_numpy(), np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(-1, PARTS)
+        size = left["size"].to_numpy()
         own, bars = right["query"].to_numpy(), right["bar"].to_numpy()
         qv = _matrix(right["qv"].combine_chunks(), dim) if right.num_rows else np.zeros((0, dim), np.float32)
         out = []
         for at in range(0, len(own) if len(ids) else 0, 64):
-            s = shared.value.scores(qv[at : at + 64], key[0].as_py(), codes)
+            s = shared.value.scores(qv[at : at + 64], key[0].as_py(), codes, size)
             s[own[at : at + 64, None] == ids[None, :]] = -np.inf
             ok = s >= bars[at : at + 64, None]
             if len(ids) > RERANK:
@@ -150,7 +157,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
         return pa.table({"query": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "near": pa.array(cols[2], pa.float32())})
 
-    coded, _ = written(rows.select("id", "v").mapInArrow(index, "list int, id long, code binary"), "ivf")
+    coded, _ = written(rows.select("id", "v").mapInArrow(index, "list int, id long, code binary, size float"), "ivf")
     queries, _ = written(rows.where("q").select("id", "v").mapInArrow(probe, "query long, lists array<int>, bar float, qv array<float>"), "queries")
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row per list
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
