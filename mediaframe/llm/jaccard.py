@@ -32,7 +32,8 @@ from .common import drop_path, prepare, written
 from .shingles import mix, shingle_sets
 
 #: Counters of the table of hashed element counts, and the pieces that it travels in. Fixed, whatever the input.
-COUNTERS, PIECES = 1 << 20, 16
+BITS, PIECES = 22, 16
+COUNTERS = 1 << BITS
 #: Candidate boundaries between light and heavy sets, in elements.
 BOUNDARIES = (0, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Lists up to this length give all pairs at once.
@@ -51,13 +52,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
+    at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    counts[at] = np.minimum(counts[at].astype(np.int64) + n, 2**31 - 1)
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind 0: id, size n and fingerprint (f1, f2) of each document's set. Rows of kind 1: a partition's element counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int32)
         part = TaskContext.get().partitionId()
         for b in batches:
             n, f1, f2, waiting, size = [], [], [], [], 0
@@ -69,17 +75,17 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     waiting.append(s)
                     size += len(s)
                     if size > COUNTERS:
-                        counts += np.bincount((np.concatenate(waiting) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                        _count(counts, waiting)
                         waiting, size = [], 0
             if waiting:
-                counts += np.bincount((np.concatenate(waiting) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                _count(counts, waiting)
             k = len(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * k, pa.int32()), b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), _signed(np.array(f1, np.uint64)), _signed(np.array(f2, np.uint64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 _DESCRIBED,
             )
         if counts.any():
-            own = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(counts, PIECES)]
+            own = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in np.split(counts, PIECES)]
             blank = pa.nulls(PIECES, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([1] * PIECES, pa.int32()), pa.array([part] * PIECES, pa.int64()), pa.nulls(PIECES, pa.int32()), blank, blank, pa.array(range(PIECES), pa.int32()), pa.array(own, pa.binary())],
@@ -96,8 +102,8 @@ def _merge(groups: DataFrame, *keys: str) -> DataFrame:
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["counts"])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "counts": [zlib.compress(total.tobytes(), 1)]})
+        total = sum(np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for x in pdf["counts"])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype("<i4").tobytes(), 1)]})
 
     return groups.groupBy(*keys).applyInPandas(add, ", ".join(f"{k} {'long' if k == 'id' else 'int'}" for k in keys) + ", counts binary")
 
@@ -105,16 +111,16 @@ def _merge(groups: DataFrame, *keys: str) -> DataFrame:
 def element_counts(described: DataFrame) -> np.ndarray:
     """The table of counts over all documents: partitions are added up in two steps, so that no task holds many of them."""
     rows = described.where("kind = 1").select("piece", F.pmod(F.hash("id"), F.lit(64)).cast("long").alias("id"), "counts")
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS, np.int32)
     step = COUNTERS // PIECES
     for r in _merge(_merge(rows, "piece", "id"), "piece").collect():  # PIECES rows of bounded size
-        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(zlib.decompress(r.counts), "<i8")
+        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(zlib.decompress(r.counts), "<i4")
     return out
 
 
 def boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     """The number of elements up to which sets are light. sizes: number of sets by their size, where that is at most the largest boundary."""
-    total = max(1, int(counts.sum()))
+    total = max(1, int(counts.sum(dtype=np.int64)))
     # entries that an element finds in its list: how much heavier than even the counters are, seen from an element
     entries = max(0.0, float((counts.astype(float) ** 2).sum()) / total / max(1.0, total / COUNTERS) - 1)
 
@@ -130,7 +136,7 @@ def keys_of(s: np.ndarray, counts: np.ndarray, light: int) -> np.ndarray:
     n = len(s)
     if n < 4:
         return s[:0]
-    rare = s[np.argsort(counts[(s >> np.uint64(44)).astype(np.int64)], kind="stable")[: n // 5 + 2]]
+    rare = s[np.argsort(counts[(s >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[: n // 5 + 2]]
     out = []
     if n <= light:
         i, j = np.triu_indices(len(rare), 1)
