@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
             kind_pa = b.schema.field(0).type
             docs = iter(b.column(0).to_pylist())
             for texts in grouped(t.as_py() for t in b.column(1)):
-                for doc, own in zip(docs, bpe.encode_many(texts)):
+                for doc, own in zip(islice(docs, len(texts)), bpe.encode_many(texts), strict=True):
                     ids, start = np.concatenate([own, end]), 0
                     for n in cuts(len(ids), capacity):
                         rows += bins.add((doc, start, n, ids[start : start + n], len(ids)))

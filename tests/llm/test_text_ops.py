@@ -86,6 +86,25 @@ def test_packing_keeps_each_id_once(docs):
     assert pad <= 0.02 * total
 
 
+def test_packing_of_more_text_than_one_group(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choices(["one", "Two", "three,", "naïve", "x9"], k=r.randint(1, 6000))) for _ in range(200)]
+    assert sum(map(len, texts)) > 2 * 2**20
+    own, want = WordBPE(P.path("word_bpe_49k.json")).whole, {}
+    for i, t in enumerate(texts):
+        want[i] = [*own.encode(t, add_special_tokens=False).ids, 2]
+    # one partition, and so one Arrow batch
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    by_doc = {}
+    for x in rows:
+        by_doc.setdefault(x.doc_id, []).append(x)
+        assert x.doc_tokens == len(want[x.doc_id])
+        assert x.ids_crc32 == zlib.crc32(np.array(want[x.doc_id][x.start : x.start + x.length], "<u4").tobytes())
+    assert set(by_doc) == set(want)
+    for i, parts in by_doc.items():
+        assert sum(x.length for x in parts) == len(want[i])
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 100, 4095, 4096, 4097, 20000])
 def test_cuts(n):
     c = packing.cuts(n)
