@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -236,3 +237,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert "hunter2" not in texts[22].text and texts[22].n_chars == len(texts[22].text) and texts[3].text == clean[3]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} == {*range(20), 22}
+
+
+def test_pipeline_packs_more_than_one_group_of_text(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    vocab = [f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k % 6]}" for k in range(900)]
+    rows = [(i, " ".join(r.choices(vocab, k=r.randint(400, 2400))), "en", "s", 0) for i in range(200)]
+    # one file, and so one partition in each stage that does not shuffle
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    assert len(texts) > 150 and sum(map(len, texts.values())) > 2 * 2**20
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    by_doc = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        own = want[x.doc_id]
+        assert x.doc_tokens == len(own) and x.ids_crc32 == zlib.crc32(np.array(own[x.start : x.start + x.length], "<u4").tobytes())
+        by_doc[x.doc_id] = by_doc.get(x.doc_id, 0) + x.length
+    assert by_doc == {i: len(own) for i, own in want.items()}
