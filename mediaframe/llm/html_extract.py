@@ -3,7 +3,8 @@
 The pages of a host are merged into one tree of element nodes, told apart by tag, class and id along their path. A
 node's content and presentation on each page are hashed, and the entropy of these over the host's different pages says
 how important the node is: what is the same on page after page is not. Branches of low importance go, and those that
-their tags or names mark as menus, adverts, comments and the like. Where a page marks its article, only that is kept.
+their tags or names mark as menus, adverts, comments and the like; a name does not remove what is or holds the article.
+Where a page marks its article, only that is kept.
 """
 
 from __future__ import annotations
@@ -45,12 +46,15 @@ NOISE_WORDS = set(
     "recommendations comment comments commentlist disqus respond replies reply discussion reactions widget widgets toolbar pagination pager skip login copyright disclaimer".split()
 )
 ARTICLE_NAMES = {"articlebody"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Never removed as low branches.
 KEPT_TAGS = {"html", "body", "article", "main", "h1"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[a-z0-9]+")
+#: The end of a tag that closes itself; a slash after an unquoted value belongs to the value.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _MASK = (1 << 63) - 1
 
 
@@ -71,12 +75,42 @@ def _key(name: str) -> int:
 
 
 class Node:
-    """An open element: tag, hash of its path, whether it is noise or low or inside such, whether inside an article."""
+    """An open element: tag, hash of its path, whether it is noise or low or inside such, whether inside an article or a heading, and the number of the nearest node at or above it that only its name marks as noise."""
 
-    __slots__ = ("article", "gone", "path", "tag")
+    __slots__ = ("article", "gone", "heading", "named", "path", "tag")
 
-    def __init__(self, tag: str, path: int, gone: bool, article: bool) -> None:
-        self.tag, self.path, self.gone, self.article = tag, path, gone, article
+    def __init__(self, tag: str, path: int, gone: bool, article: bool, heading: bool, named: int) -> None:
+        self.tag, self.path, self.gone, self.article, self.heading, self.named = tag, path, gone, article, heading, named
+
+
+class Names:
+    """Nodes that only their names mark as noise. up: of each its next one above; 0 is none."""
+
+    def __init__(self) -> None:
+        self.up, self.noise = [0], [0]
+
+    def add(self, above: int) -> int:
+        self.up.append(above)
+        self.noise.append(1)
+        return len(self.up) - 1
+
+    def counts(self) -> list[int]:
+        """How many noisy names there are at and above each."""
+        out = self.noise[:]
+        for k in range(1, len(out)):
+            out[k] += out[self.up[k]]
+        return out
+
+    def spare(self, places: list[int]) -> None:
+        """If names would remove all of these places, those with the fewest such names stay, and so does what holds them."""
+        left = self.counts()
+        least = min((left[k] for k in places), default=0)
+        for k in places:
+            if least and left[k] == least:
+                # above a spared one all are spared
+                while self.noise[k]:
+                    self.noise[k] = 0
+                    k = self.up[k]
 
 
 def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -> tuple[list[tuple[str, bool]], bool]:
@@ -85,10 +119,12 @@ def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -
     watch, if given, is called for each opened element as watch(parent path, key) and for each block of text as
     watch(None, paths above it, text).
     """
-    stack = [Node("", 0, False, False)]
-    blocks: list[tuple[str, bool]] = []
+    stack = [Node("", 0, False, False, False, 0)]
+    blocks: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
-    marked = False
+    noisy = Names()
+    articles: list[int] = []
+    titles: list[int] = []
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -98,7 +134,7 @@ def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -
             if own:
                 top = stack[-1]
                 if not top.gone:
-                    blocks.append((own, top.article))
+                    blocks.append((own, top.article, top.heading, top.named))
                 if watch:
                     watch(None, [n.path for n in stack[1:]], own)
 
@@ -118,7 +154,7 @@ def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -
                 if stack[k].tag == tag:
                     if tag not in BLOCKS and any(n.tag in BLOCKS for n in stack[k + 1 :]):
                         break
-                    if stack[-1].gone != stack[k - 1].gone or stack[-1].article != stack[k - 1].article:
+                    if stack[-1].gone != stack[k - 1].gone or stack[-1].article != stack[k - 1].article or stack[-1].named != stack[k - 1].named:
                         flush()
                     del stack[k:]
                     break
@@ -133,6 +169,8 @@ def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -
                         break
                     if stack[k].tag in BLOCKS:
                         break
+        if tag in ("svg", "math") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            continue
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(html, at)
             at = close.start() if close else end
@@ -142,13 +180,13 @@ def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -
         if tag in VOID:
             continue
         parent, attrs = stack[-1], m[3]
-        names, noise, article = "", tag in NOISE_TAGS or tag == "header" and not parent.article, tag in ("article", "main")
+        names, named, noise, article = "", False, tag in NOISE_TAGS or tag == "header" and not parent.article, tag in ("article", "main")
         if "=" in attrs:
             for name, a, b, c in _ATTR.findall(attrs):
                 name, value = name.lower(), (a or b or c).lower()
                 if name in ("class", "id"):
                     names += f".{value}"
-                    noise = noise or tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(_WORD.findall(value))
+                    named = named or tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(_WORD.findall(value))
                 elif name == "role":
                     noise, article = noise or value in NOISE_ROLES, article or value in ("main", "article")
                 elif name == "itemprop":
@@ -158,15 +196,25 @@ def parse(html: str, low: frozenset[int] | set[int] = frozenset(), watch=None) -
         key = _key(tag + names)
         path = (parent.path * 0x100000001B3 + key) & _MASK
         gone = parent.gone or noise or tag not in KEPT_TAGS and path in low
-        if gone != parent.gone or article and not parent.article:
+        if gone != parent.gone or article and not parent.article or named and not gone:
             flush()
         if watch:
             watch(parent.path, key)
-        article = parent.article or article
-        marked = marked or article and not gone
-        stack.append(Node(tag, path, gone, article))
+        above = noisy.add(parent.named) if named and not gone else parent.named
+        if article and not gone:
+            articles.append(above)
+        elif tag == "h1" and not gone:
+            titles.append(above)
+        stack.append(Node(tag, path, gone, parent.article or article, parent.heading or tag in HEADINGS, above))
     flush()
-    return blocks, marked
+    # the article, or the title of a page that has it under fewer names; then the title; then what text there is besides headings
+    noisy.spare(articles and articles + [k for k in titles if k])
+    noisy.spare(titles)
+    left = noisy.counts()
+    marked = not all(left[k] for k in articles)
+    noisy.spare([k for _, article, heading, k in blocks if (article or not marked) and not heading])
+    left = noisy.counts()
+    return [(t, article) for t, article, _, k in blocks if not left[k]], marked
 
 
 def main_text(html: str, low: frozenset[int] | set[int] = frozenset()) -> str:

@@ -171,6 +171,33 @@ def test_main_text():
     assert html_extract.main_text("<i>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("opened, closed", [
+    ('<div class="layout no-sidebar"><article>', "</article></div>"), ('<div id="page" class="right-sidebar"><main>', "</main></div>"), ('<main class="comments-open">', "</main>"), ('<article class="widget">', "</article>"),
+    ('<main><article class="widget">', "</article></main>"), ('<div class="layout no-sidebar">', "</div>"), ('<article><div class="no-sidebar">', "</div></article>"),
+])
+def test_names_do_not_remove_the_article(opened, closed):
+    page = f"<body><nav>Home</nav>{opened}<h1>Title</h1><p>First words<div class='ad'>Buy</div><p>last words<div id='comments'><article class='comment'>first!</article></div>{closed}<footer>us</footer>"
+    assert html_extract.main_text(page) == "Title First words last words"
+
+
+@pytest.mark.parametrize("opened, closed", [('<main class="comments-open">', "</main>"), ('<div class="right-sidebar"><article>', "</article></div>"), ('<main><h1>Title</h1><article class="widget">', "</article></main>")])
+def test_names_do_not_remove_the_article_beside_other_text(opened, closed):
+    page = f"<body><div>Tagline</div>{opened}<p>Own words</p><div id='comments'>first!</div>{closed}"
+    assert html_extract.main_text(page).removeprefix("Title ") == "Own words"
+
+
+def test_names_without_any_mark_leave_the_least_noisy_text():
+    assert html_extract.main_text("<div class='layout no-sidebar'><p>own words</p><div class='sidebar'>side</div></div><nav>Home</nav>") == "own words"
+    assert html_extract.main_text("<p>own words</p><div class='sidebar'>side</div>") == "own words"
+
+
+@pytest.mark.parametrize("tag", ['<svg class="icon" />', "<svg/>", "<math/>", '<SVG a="b"/>'])
+def test_self_closed_svg_and_math_are_empty(tag):
+    assert html_extract.main_text(f"<article><p>one {tag} two</p><p>three</p></article>") == "one two three"
+    assert html_extract.main_text(f"<p>one</p>{tag}<p>two</p><svg><text>no</text></svg><p>three") == "one two three"
+    assert html_extract.main_text("<p>one <svg href=a/>no</svg> two") == "one two"
+
+
 def test_site_style_tree_removes_what_repeats(spark):
     site = "<html><body><div class='top'>Same on all pages</div><div class='main'><p>Own words of page {0}, and {0} more.</p></div></body></html>"
     rows = [(i, "http://s.example/x", site.format(i)) for i in range(30)] + [(100, None, None), (101, "http://t.example/", site.format(7)), (0, "http://s.example/x", site.format(0))]
