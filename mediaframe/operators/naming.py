@@ -36,24 +36,25 @@ def numbered(name: Column, n: Column) -> Column:
     return F.when(n == 1, name).otherwise(F.concat(stem, F.lit(" "), n.cast("string"), ext))
 
 
-def claim(df: DataFrame, target: str, order: str, out: str = "claimed", rounds: int = 50) -> DataFrame:
+def claim(df: DataFrame, target: str, order: str, out: str = "claimed") -> DataFrame:
     """df with a name for each row that no other row has, whatever the case: the first in `order` keeps its target, others get `name 2`, `name 3`.
 
-    A generated name that is some row's own target is skipped, as are those taken in earlier rounds. Each round is a
-    window by name; rounds go on until names are unique.
+    A generated name that is some row's own target is skipped: the m-th copy gets the m-th free number from 2 on. It is m + 1
+    and one more for each taken number that has fewer than m free ones before it, by windows by name. Null targets stay null.
     """
-    keep = df.withColumn("__n", F.row_number().over(Window.partitionBy(F.lower(target)).orderBy(order)))
-    now = keep.withColumn(out, numbered(F.col(target), F.col("__n")))
-    for _ in range(rounds):
-        clash = Window.partitionBy(F.lower(out)).orderBy(F.col("__n") > 1, F.col(order))
-        now = now.withColumn("__c", F.row_number().over(clash))
-        if now.where("__c > 1").isEmpty():
-            break
-        base = Window.partitionBy(F.lower(target))
-        # in a name's group, all that follow a clash move on by one
-        first = F.min(F.when(F.col("__c") > 1, F.col("__n"))).over(base)
-        now = now.withColumn("__n", F.when(F.col("__n") >= first, F.col("__n") + 1).otherwise(F.col("__n"))).withColumn(out, numbered(F.col(target), F.col("__n")))
-    return now.drop("__n", "__c")
+    family = lambda t: F.lower(numbered(t, F.lit(2)))  # noqa: E731  # generated names are the same only within one
+    keep = df.withColumn("__n", F.row_number().over(Window.partitionBy(F.lower(target)).orderBy(order))).withColumn("__f", family(F.col(target)))
+    own = keep.withColumn("__m", F.row_number().over(Window.partitionBy("__f", F.col("__n") > 1).orderBy(F.lower(target), "__n")).cast("long"))
+    # names of rows that look like generated ones: their family and number; a number with zeros before it is never generated
+    looks = r"(?s)^(.*) ([1-9][0-9]{0,17})((?:\.[^./]*)?)\z"
+    part = lambda k: F.regexp_extract(F.lower(target), looks, k)
+    taken = df.where(F.lower(target).rlike(looks)).select(F.concat(part(1), F.lit(" 2"), part(3)).alias("__f"), part(2).cast("long").alias("__t")).where("__t > 1").distinct()
+    free = F.col("__t") - 1 - F.row_number().over(Window.partitionBy("__f").orderBy("__t"))
+    # in the order of __k a taken number stands before the copies that it moves on
+    both = own.withColumn("__k", F.when(F.col("__n") > 1, 2 * F.col("__m")).otherwise(0)).unionByName(taken.select("__f", (2 * free + 1).alias("__k"), F.lit(True).alias("__taken")), allowMissingColumns=True)
+    before = F.count("__taken").over(Window.partitionBy("__f").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = F.when(F.col("__n") == 1, 1).otherwise(F.col("__m") + 1 + before)
+    return both.withColumn("__b", number).where("__taken IS NULL").withColumn(out, numbered(F.col(target), F.col("__b"))).select(*[c for c in df.columns if c != out], out)
 
 
 def keep_first(df: DataFrame, by: list[Column], order: list[Column], n: int) -> DataFrame:

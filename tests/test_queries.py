@@ -80,6 +80,26 @@ def test_names(spark):
     assert [r[0] for r in own.select(naming.is_own_output(F.col("p"), folder="/out")).collect()] == [True, True, True, False]
 
 
+def test_names_in_long_chains(spark):
+    chain = [f"a {n}.jpg" for n in range(2, 61)]
+    targets = ["a.jpg", "A.jpg", *chain, "a.JPG", "a 63.jpg", "a.jpg", "a 064.jpg", "d.x/b", "d.x/b", "d.x/b 2", "a 2.jpg", "c.", "c.", "ΑΣ.jpg", "ασ.jpg", "ας.jpg", "ας.jpg"]
+    df = spark.createDataFrame(list(enumerate(targets)), "k int, t string")
+    got = {r.k: r.c for r in naming.claim(df.repartition(3), "t", "k", "c").collect()}
+    # one row after the other: the first keeps its name, others take the next number that is free
+    own, first, want = {t.lower() for t in targets}, set(), {}
+    for k, t in enumerate(targets):
+        stem, dot, ext = t.rpartition(".") if "." in t.rpartition("/")[2] else (t, "", "")
+        name, n = t, 1
+        while name.lower() in first or n > 1 and name.lower() in own:
+            n += 1
+            name = f"{stem} {n}{dot}{ext}"
+        first.add(name.lower())
+        want[k] = name
+    assert len(first) == len(targets) and len({v.lower() for v in got.values()}) == len(targets)
+    assert got[1] == "A 61.jpg" and got[61] == "a 62.JPG" and got[63] == "a 64.jpg"
+    assert {k: got[k] for k in range(70)} == {k: want[k] for k in range(70)}
+
+
 def test_fold_rolls_back_and_aborts(spark):
     schema = "file_id long, stage int, cand int, name string, size long, verified boolean, lossy boolean, minimum_gain double, required boolean, judged_finished boolean, promised boolean, has_private boolean"
     c = lambda f, s, n, size, ok=True, **k: (f, s, k.get("cand", 0), n, size, ok, k.get("lossy", False), k.get("gain", 0.0), k.get("required", False), k.get("judged", False), k.get("promised", False), k.get("private", False))
