@@ -8,10 +8,11 @@ Memory is bounded: caches are emptied at CACHE entries, and only an unbroken run
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 
 import numpy as np
 
@@ -20,6 +21,12 @@ CACHE = 700_000
 #: Longer strings are not kept.
 KEEP_CHARS = 64
 
+# The pattern, and the parts of a tokenizer file, that the fast ways below are written for. Others take the whole text.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A single space between two characters that are no white space: a token begins there, whatever follows.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -41,18 +48,38 @@ LATIN_TO_BYTES = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in ra
 
 
 class _Cached:
-    """Parts and, within them, pieces of simple characters, each with its ids as little-endian 32-bit numbers."""
+    """Parts and, within them, pieces of simple characters, each with its ids as little-endian 32-bit numbers.
+
+    A subclass has cut(text): its parts; context(part): the characters that a part stands for; simple(characters):
+    whether they may be split in Python; form(characters): what is split then. The defaults take the whole text.
+    """
 
     def __init__(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[Hashable, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+    def cut(self, text: str) -> list:
+        return [text]
+
+    def context(self, part) -> str:
+        return part
+
+    def simple(self, chars: str) -> object:
+        return False
+
+    def form(self, chars: str) -> str:
+        return chars
+
+    def split(self, chars: str) -> list[str]:
+        return [chars]
+
+    def _learn(self, parts: set) -> dict[Hashable, bytes]:
         """Ids of new parts: all pieces that are new too go through the tokenizer in one batch."""
         known, split = self.pieces, {}
         for p in parts:
-            split[p] = self.split(self.form(p)) if self.simple(p) else None
+            chars = self.context(p)
+            split[p] = self.split(self.form(chars)) if self.simple(chars) else None
         new = {x for own in split.values() if own for x in own}.difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
@@ -87,7 +114,7 @@ class _Cached:
             out.append(np.frombuffer(b"".join(got), "<u4"))
         if len(known) + len(new) > CACHE:
             known.clear()
-        known.update({p: x for p, x in new.items() if len(p) <= KEEP_CHARS})
+        known.update({p: x for p, x in new.items() if len(self.context(p)) <= KEEP_CHARS})
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -138,29 +165,32 @@ class ByteBPE(_Cached):
         self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
-        #: The pattern for texts of printable ASCII, Latin-1 letters, spaces and line ends, where Python's classes are the same.
-        self.simple = re.compile("\0?[ \n!-~À-ÖØ-öø-ÿ]*").fullmatch
-        self.bare = Tokenizer(self.model)
-        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+").findall
-
-    #: A part stands after the space that was cut off before it; the first of a text comes with a mark instead.
-    def cut(self, text: str) -> list[str]:
-        parts = CUT.split(text)
-        parts[0] = "\0" + parts[0]
+        if pattern == BYTE_PATTERN:
+            self.cut, self.context = self._cut, self._context
+            # the pattern for texts of printable ASCII, Latin-1 letters, spaces and line ends, where Python's classes are the same
+            self.simple = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*").fullmatch
+            self.bare = Tokenizer(self.model)
+            self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+").findall
+
+    @staticmethod
+    def _cut(text: str) -> list:
+        """The first part as a tuple of one, the others without the space that stands before them."""
+        parts: list = CUT.split(text)
+        parts[0] = (parts[0],)
         return parts
 
-    def form(self, part: str) -> str:
-        return part[1:] if part[:1] == "\0" else " " + part
-
-    context = form
+    @staticmethod
+    def _context(part) -> str:
+        return " " + part if type(part) is str else part[0]
 
-    def offsets(self, ids: np.ndarray, text: str) -> list[tuple[int, int]]:
-        """Code points [start, end) that each token touches; tokens that split a character share it."""
+    def offsets(self, ids: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Code points, starts and ends (exclusive), that each token touches; tokens that split a character share it."""
         raw = np.frombuffer(text.encode(), np.uint8)
-        char_at = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum(self.lengths[ids]) if len(ids) else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ids) else ends
-        return list(zip(char_at[starts].tolist(), (char_at[ends - 1] + 1).tolist())) if len(ids) else []
+        if not len(ids):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        char_at = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - np.int32(1)
+        ends = np.cumsum(self.lengths[ids])
+        return char_at[ends - self.lengths[ids]], char_at[ends - 1] + np.int32(1)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids. Characters that are split over tokens come together here, before anything reads them as UTF-8."""
@@ -168,22 +198,29 @@ class ByteBPE(_Cached):
 
 
 class WordBPE(_Cached):
-    """A tokenizers file whose normalizer lower-cases and drops white space: parts between white space are independent."""
+    """A tokenizers file. Where its normalizer lower-cases and its pre-tokenizer drops white space, parts between white space are independent.
+
+    A file with another normalizer, pre-tokenizer, post-processor or added tokens that do not begin with `<|` encodes whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.whole.model)
-        self.simple = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+").fullmatch
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-        self.form = str.lower
-
-    def context(self, part: str) -> str:
-        return part
-
-    def cut(self, text: str) -> list[str]:
+        with open(path, "rb") as f:
+            told = json.load(f)
+        pre = {"type": "Sequence", "pretokenizers": [WORD_SPLIT, WORD_BYTES]}
+        plain = not any(told.get(k) for k in ("truncation", "padding", "post_processor"))
+        if plain and told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == pre and all(t["content"].startswith("<|") for t in told.get("added_tokens") or ()):
+            self.cut = self._cut
+            self.bare = Tokenizer(self.whole.model)
+            self.simple = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+").fullmatch
+            self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+            self.form = str.lower
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
         # str.split also cuts at U+001C to U+001F, which are no white space to the tokenizer
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [p for p in re.split(r"[\x20\x09-\x0D]+", text) if p]

@@ -36,14 +36,37 @@ def tiktoken_encoding():
 
 def test_byte_bpe_equals_tiktoken_on_random_texts():
     enc, own, r = tiktoken_encoding(), ByteBPE(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(1)
-    pools = ["ab", "aé", "aA \n", "a' śt", "日本語の ", "'llvereт ", "<|endoftext|> a", "a  \t\x1c\x85b", "aaaa bb  ", "12 3a½²", "\U0001f600‍👩 a"]
-    for _ in range(3000):
+    pools = ["ab", "aé", "aA \n", "a' śt", "日本語の ", "'llvereт ", "<|endoftext|> a", "a  \t\x1c\x85b", "aaaa bb  ", "12 3a½²", "\U0001f600‍👩 a", "\0 a", "\x1c\x1d\x1e\x1f \x85\u2028b"]
+    assert own.encode("ab \0cd").tolist() == enc.encode_ordinary("ab \0cd") and own.decode(own.encode(" a \0 b")) == b" a \0 b"
+    for _ in range(4000):
         s = "".join(r.choice(r.choice(pools)) for _ in range(r.randint(0, 40)))
         ids = own.encode(s).tolist()
         assert ids == enc.encode_ordinary(s)
         assert own.decode(ids) == s.encode()
 
 
+def test_byte_bpe_with_another_pattern():
+    import tiktoken
+
+    pattern = r"\p{N}{1,2}|\p{L}+|\s+|[^\s\p{L}\p{N}]+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc, own, r = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ByteBPE(P.path("byte_bpe_multi_50k.tiktoken"), pattern), random.Random(2)
+    for _ in range(500):
+        s = "".join(r.choice(r.choice(["abc ", "123 4", "é日 ", ".,' \n", "\0 "])) for _ in range(r.randint(0, 40)))
+        assert own.encode(s).tolist() == enc.encode_ordinary(s)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_bpe_equals_its_file_on_random_texts(name):
+    from tokenizers import Tokenizer
+
+    plain, own, r = Tokenizer.from_file(P.path(name)), WordBPE(P.path(name)), random.Random(3)
+    pools = ["aB ", "Aé ", "'s 'LL", "12 3a½²", "日本 ", "<|endoftext|> ", "\t\n  ", "\0\x1c\x1f \x85\u2028", ".,!? "]
+    for _ in range(1500):
+        s = "".join(r.choice([r.choice(pools), r.choice(r.choice(pools))]) for _ in range(r.randint(0, 20)))
+        assert own.encode(s).tolist() == plain.encode(s, add_special_tokens=False).ids
+
+
 def test_byte_bpe_query_and_decode(spark, docs):
     enc = tiktoken_encoding()
     got = bpe.round_trip(docs).collect()
@@ -53,6 +76,10 @@ def test_byte_bpe_query_and_decode(spark, docs):
         ids = enc.encode_ordinary(text)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        ends = np.cumsum([len(enc.decode_single_token_bytes(i)) for i in ids], dtype=int)
+        char = [k for k, c in enumerate(text) for _ in c.encode()]
+        starts = [char[b - len(enc.decode_single_token_bytes(i))] for i, b in zip(ids, ends)]
+        assert r.offsets_crc32 == zlib.crc32(np.array([char[b - 1] + 1 for b in ends], "<i4").tobytes(), zlib.crc32(np.array(starts, "<i4").tobytes()))
     coded = bpe.encode(docs.where("doc_id = 9"))
     row = coded.first()
     assert [TEXTS[9][s:e] for s, e in row.offsets][0] == "é" and len(row.offsets) == len(row.ids)
