@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -29,11 +30,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is empty, as in local tests, a temporary folder stands in.
+    Only where that setting is empty and Spark runs in this one process, as in tests, a temporary folder stands in.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="mediaframe-"))
         found = sc._jsc.sc().getCheckpointDir().get()
@@ -66,4 +69,5 @@ def arrow_fs(uri: str):
         uri = uri[5:]
     if uri.startswith("/"):
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    # pyarrow knows the store by one scheme of the several that Hadoop's clients have
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))

@@ -138,25 +138,61 @@ def test_zip_reader_reads_other_writers_files():
 
 
 def test_sharding_compacts_and_keeps_rows(spark):
-    rows = [(i, None if i % 7 == 0 else f"text {i} " * (i % 50), "en") for i in range(600)] + [(5, "again", None)]
+    rows = [(i, None if i % 7 == 0 else f"text {i} " * (i % 50), "en") for i in range(600)] + [(5, "again", None), (700, "é" * 3_000_000, "long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(8)
     t = sharding.ShardTable(spark, sharding.new_path(spark, "shards-test"))
     for k in range(3):
         t.append(docs.where(F.col("doc_id") % 3 == k), arrival_bytes=2000)
-    before = t.manifest()
+    before = t.manifest().collect()
     assert t.version() == 3 and len(before) > 20
     with pytest.raises(sharding.Conflict):
-        t.commit(2, [])
+        t.commit(2, t.manifest())
     t.compact(target=20_000, fan=4)
-    after = t.manifest()
-    assert len(after) < len(before) and sum(s["rows"] for s in after) == len(rows) and not t.plan(20_000, 4)
-    got = t.read(docs.schema)
+    after = t.manifest().collect()
+    assert len(after) < len(before) and sum(s.rows for s in after) == len(rows) and t.plan(20_000, 4).isEmpty()
+    got = t.read(docs.drop("shard").schema)
     assert got.drop("shard").exceptAll(docs.drop("shard")).isEmpty() and got.count() == len(rows)
+    assert {r["shard"] for r in got.select("shard").distinct().collect()} == {s.name for s in after}
+    # versions before the compaction can still be read, before and after a vacuum that keeps them
+    assert t.read(docs.drop("shard").schema, 3).count() == len(rows) and t.read(docs.drop("shard").schema, 1).count() < len(rows)
+    assert t.vacuum() == 0
+    assert t.vacuum(keep=1, grace=0) >= len({s.name for s in before} - {s.name for s in after}) > 10 and t.read(docs.drop("shard").schema).count() == len(rows) and t.versions() == [t.version()]
     whole = sharding.shard(docs)
     assert sorted(r.doc_id for r in whole.collect()) == sorted(r[0] for r in rows)
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_vacuum_spares_what_another_writer_has_yet_to_commit(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string").repartition(8)
+    t, other = (sharding.ShardTable(spark, f) for f in [sharding.new_path(spark, "shards-race")] * 2)
+    t.append(docs, arrival_bytes=500)
+    commit = other.commit
+
+    def late(base, shards):
+        # the first writer compacts and cleans up between the second one's writing and its commit
+        if t.version() == 1:
+            assert t.compact(target=20_000) > 0
+            t.vacuum(keep=1)
+        return commit(base, shards)
+
+    monkeypatch.setattr(other, "commit", late)
+    other.append(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    assert sorted(r.doc_id for r in t.read(docs.schema).collect()) == sorted([*range(200), *range(1000, 1200)])
+
+
+def test_sharding_merges_nothing_twice(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    t = sharding.ShardTable(spark, sharding.new_path(spark, "shards-twice"))
+    t.append(docs, arrival_bytes=1)
+    gone = t.plan(20_000, 4)
+    assert not gone.isEmpty()
+    held = spark.createDataFrame(gone.collect(), gone.schema)
+    t.compact(target=20_000)
+    with pytest.raises(sharding.Conflict):
+        t._commit_new(spark.createDataFrame([], "name string, rows long, bytes long"), held, __import__("time").time())
+    assert t.read(docs.schema).count() == 64
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="wrap"><div class="promo box">Buy {0}</div><article><header><h1>Title {0}</h1></header><p><b>Bold{0}<br>next &amp; &eacute;&nbsp;x<p>Second   para {0}</p>
 <aside>see also</aside><div id="comments"><article>first!</article></div></article></div><div class="tagline">Always the same words</div><footer>&copy; us</footer>"""
