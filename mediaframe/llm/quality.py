@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample on which costs and rejections are estimated. It decides the order of rules, never a verdict.
+#: Rows that the sample for costs and rejections has on average. It decides the order of rules, never a verdict.
 SAMPLE_ROWS = 2000
+#: Seed of the sample, a share of each partition's rows.
+SEED = 2
 
 #: White space between words: space and U+0009 to U+000D, as SQL string parts.
 _BLANKS = r"' \t\n\u000B\u000C\r'"
@@ -36,19 +37,25 @@ if(size(w) < 4, 0L,
 
 @dataclass(frozen=True)
 class Rule:
-    """passes: SQL over n_words, word_chars, n_symbols, n_dup_lines, n_lines and the text __t. True keeps the document."""
+    """passes: SQL over n_words, word_chars, n_symbols, n_dup_lines, n_lines and the text __t. True keeps the document.
+
+    per_row and per_char: nanoseconds of one core that it takes for a document and for each of its characters, measured
+    once by repeated runs over prose. With the lengths of the sample's documents they give what the rule costs here.
+    """
 
     name: str
     passes: str
+    per_row: float = 20.0
+    per_char: float = 0.0
 
 
 RULES = (
     Rule("symbols", "100 * n_symbols <= 15 * n_words"),
     Rule("duplicate_lines", "100 * n_dup_lines <= 30 * n_lines"),
     Rule("word_length", "word_chars BETWEEN 2 * n_words AND 15 * n_words"),
-    Rule("capitals", "100 * (length(__t) - length(translate(__t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) <= 40 * word_chars"),
-    Rule("exclamations", "100 * (length(__t) - length(translate(__t, '!', ''))) <= 30 * n_words"),
-    Rule("letters", r"100 * regexp_count(__t, '(?<!\\S)[^\\p{L}\\s]+(?!\\S)') <= 30 * n_words"),
+    Rule("capitals", "100 * (length(__t) - length(translate(__t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) <= 40 * word_chars", 200.0, 9.0),
+    Rule("exclamations", "100 * (length(__t) - length(translate(__t, '!', ''))) <= 30 * n_words", 200.0, 9.0),
+    Rule("letters", r"100 * regexp_count(__t, '(?<!\\S)[^\\p{L}\\s]+(?!\\S)') <= 30 * n_words", 500.0, 40.0),
 )
 
 
@@ -67,23 +74,39 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("__m", "__l")
 
 
-def order(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on a sample of at most `rows` rows, best first; ties by name."""
-    sample = measures(df.select(text_col).limit(rows), text_col).persist()
-    try:
-        n = sample.count()
-        begun = time.perf_counter()
-        sample.agg(F.count_if(F.expr("n_words >= 0"))).first()
-        least = time.perf_counter() - begun
-        found = []
-        for rule in rules:
-            begun = time.perf_counter()
-            rejected = sample.agg(F.count_if(F.expr(f"NOT ({rule.passes})"))).first()[0]
-            cost = max(time.perf_counter() - begun - least, 1e-3)
-            found.append((-(rejected / max(n, 1)) / cost, rule.name, rule))
-        return [x[2] for x in sorted(found, key=lambda x: x[:2])]
-    finally:
-        sample.unpersist()
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
+
+def profile(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[int, int, int]]:
+    """(rules failed, as bits; documents; their characters) of a sample's documents that pass the base.
+
+    One job with one aggregate: at most a row for each combination of rules. Each partition gives a share of its own
+    rows, so nothing but these sums is shuffled, however many partitions there are, and a hot source gives its share too.
+    """
+    text = df.select(text_col)
+    n = text.count()
+    sample = measures(text.sample(min(1.0, rows / max(n, 1)), SEED), text_col).where(f"NOT ({BASE_FAILED})")
+    bits = " + ".join(f"IF({r.passes}, 0L, {1 << k}L)" for k, r in enumerate(rules)) or "0L"
+    found = sample.select(F.expr(bits).alias("mask"), F.length("__t").cast("long").alias("chars")).groupBy("mask").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    return [tuple(r) for r in found.collect()]
+
+
+def order(rules: tuple[Rule, ...], found: list[tuple[int, int, int]]) -> list[Rule]:
+    """Rules by what they reject per cost, of the documents that no rule before them has rejected; ties by name."""
+    left, out = list(found), []
+    rest = list(enumerate(rules))
+    while rest:
+        n, chars = sum(x[1] for x in left), sum(x[2] for x in left)
+
+        def gain(x: tuple[int, Rule]) -> tuple[float, float, str]:
+            cost = n * x[1].per_row + chars * x[1].per_char
+            return (-sum(m for mask, m, _ in left if mask >> x[0] & 1) / max(cost, 1.0), x[1].per_char, x[1].name)
+
+        best = min(rest, key=gain)
+        rest.remove(best)
+        out.append(best[1])
+        left = [x for x in left if not x[0] >> best[0] & 1]
+    return out
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, cascade: list[Rule] | None = None) -> DataFrame:
@@ -91,14 +114,15 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 
     kept is false for a document that fails the base or any rule. Rules stand in one CASE in the order of the
     cascade, so that later ones are not evaluated for what an earlier one rejects; the verdict is the same in any
-    order. Null text counts as no words, and so fails; every row, repeated or not, is judged by itself; a narrow
-    map without shuffle. Measures that df has under the same names are replaced.
+    order. The measures are columns of the result, so they are taken of each document, whatever rejects it. Null text
+    counts as no words, and so fails; every row, repeated or not, is judged by itself; a narrow map without shuffle.
+    Measures that df has under the same names are replaced, also n_lines; a column __t goes.
     """
-    cascade = cascade if cascade is not None else order(df, text_col, rules)
+    cascade = cascade if cascade is not None else order(rules, profile(df, text_col, rules))
     whens = " ".join(f"WHEN NOT ({r.passes}) THEN false" for r in cascade)
     return (
         measures(df, text_col)
-        .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+        .withColumn("base_failed", F.expr(BASE_FAILED))
         .withColumn("kept", F.expr(f"CASE WHEN base_failed THEN false {whens} ELSE true END"))
         .drop("__t")
     )

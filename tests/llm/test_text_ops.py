@@ -163,6 +163,26 @@ def test_quality_measures_and_order_do_not_change_verdicts(docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_order_is_by_conditional_rejections_per_cost(spark):
+    a, b, c = quality.Rule("a", "x", 10.0), quality.Rule("b", "x", 10.0), quality.Rule("c", "x", 10.0, 1.0)
+    # b rejects most by itself; of what it leaves, only c rejects any, although a rejects more of all
+    assert [r.name for r in quality.order((a, b, c), [(0, 50, 5000), (0b011, 20, 2000), (0b010, 15, 1500), (0b100, 10, 1000)])] == ["b", "c", "a"]
+    # what costs a hundred times as much has to reject more than a hundred times as many
+    assert [r.name for r in quality.order((c, a), [(0, 100, 10_000), (0b01, 5, 500), (0b10, 1, 100)])] == ["a", "c"]
+    assert len(quality.order(quality.RULES, [])) == len(quality.RULES)
+    texts = [(i, " ".join(f"#w{k}x{i}" for k in range(60))) for i in range(50)]
+    assert quality.profile(spark.createDataFrame(texts, "doc_id long, text string")) == [(1, 50, sum(len(t) for _, t in texts))]
+    assert quality.profile(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_quality_of_a_very_long_text_and_clashing_names(spark):
+    r = random.Random(5)
+    long = "\n".join(" ".join(r.choices(["alpha", "beta", "gamma#", "Delta!", "ép"], k=12)) for _ in range(40_000))
+    got = quality.judge(spark.createDataFrame([(1, long, 5, "x", 7)], "doc_id long, text string, n_words int, __t string, n_lines int"), cascade=list(quality.RULES)).first()
+    m = plain_measures(long)
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == m and got.base_failed
+
+
 def test_quality_keeps_plain_prose(spark):
     r = random.Random(3)
     words = "the of and to in that is was for it with as his on be at by had not are but from or have an they which one you were".split() + [f"w{k}ord" for k in range(200)]
