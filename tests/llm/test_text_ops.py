@@ -132,6 +132,46 @@ def test_packing_of_more_text_than_one_group(spark):
         assert sum(x.length for x in parts) == len(want[i])
 
 
+def test_packing_of_nothing_and_of_a_very_long_text(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = "one two, 3 " * 60_000
+    want = [*WordBPE(P.path("word_bpe_49k.json")).whole.encode(long, add_special_tokens=False).ids, 2]
+    rows = sorted(packing.pack(spark.createDataFrame([(None, long)], "doc_id long, text string"), with_ids=True).collect(), key=lambda r: r.start)
+    assert [i for r in rows for i in r.ids] == want and all(r.doc_id is None and r.doc_tokens == len(want) for r in rows)
+
+
+def test_harmonic_bins_cut_few_documents():
+    r, bins, rows, sizes = random.Random(9), packing.Harmonic(5), [], {}
+    for doc in range(6000):
+        sizes[doc] = n = int(min(4096, r.lognormvariate(6, 1.5))) + 1 if doc % 100 else 4097 * r.randint(1, 3)
+        ids, at = np.arange(n), 0
+        for k in packing.cuts(n):
+            rows += bins.add((doc, at, k, ids[at : at + k], n))
+            at += k
+        assert bins.space < 2 * 4096 and len(bins.rooms) < 300 and len(bins.open) < 128
+    rows += bins.finish()
+    by_doc, by_seq = {}, {}
+    for doc, start, n, ids, _, seq, offset in rows:
+        assert ids.tolist() == list(range(start, start + n)) and n > 0
+        by_doc.setdefault(doc, []).append((start, n))
+        by_seq.setdefault(seq, []).append((offset, n))
+    for doc, own in by_doc.items():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at == sizes[doc]
+    pad = 0
+    for own in by_seq.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 4096
+        pad += 0 if at & (at - 1) == 0 else 4096 - at
+    assert len(by_doc) == 6000 and pad <= 0.005 * sum(sizes.values()) and len(rows) <= 1.7 * 6000
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 100, 4095, 4096, 4097, 20000])
 def test_cuts(n):
     c = packing.cuts(n)
