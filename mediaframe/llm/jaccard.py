@@ -2,7 +2,7 @@
 
 Two sets that link (intersection at least 4/5 of the union) share their k smallest common elements within the first
 n // 5 + k elements of each, in any order that both follow. The order is: rarest first, by counts of hashed elements
-over all documents in a table of fixed size. That gives two kinds of keys:
+over all documents in a table that grows with the input up to a bound. That gives two kinds of keys:
 
 * light sets (few elements): each 2-element subset of the first n // 5 + 2 elements,
 * heavy sets: each of the first n // 5 + 1 elements, whose inverted lists are scanned; light sets that are large
@@ -19,21 +19,30 @@ exact, on whole sets.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, prepare, written
 from .shingles import mix, shingle_sets
 
-#: Counters of the table of hashed element counts, and the pieces that it travels in. Fixed, whatever the input.
-BITS, PIECES = 22, 16
-COUNTERS = 1 << BITS
+#: Pieces that the table of hashed element counts travels in; bits of the least and the largest table, which as levels of one byte is 16 MB.
+PIECES = 16
+LEAST_BITS, MOST_BITS = 14, 24
+#: Bytes of text for each counter, below the largest table.
+BYTES_PER_COUNTER = 32
+#: Elements that a task counts at a time.
+COUNTED = 1 << 22
+#: Levels are logarithms of counts in steps of a LEVELS-th of a power of two.
+LEVELS = 8
+#: Rows of a key that may stand in one task, or a 2**-20 of all elements if that is more; keys of elements with higher counts are dealt over salts.
+HOT_LIST, SALTS = 200, 64
+#: Keys up to which what belongs to hot ones is broadcast; more are joined by a shuffle with salts.
+BROADCAST_KEYS = 100_000
 #: Candidate boundaries between light and heavy sets, in elements.
 BOUNDARIES = (0, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Lists up to this length give all pairs at once.
@@ -48,22 +57,42 @@ BROADCAST_IDS = 500_000
 BLOCK_ELEMENTS = 150_000
 
 
+def _buckets() -> list[int]:
+    """Least sizes of buckets: a set links with none that is more than a quarter larger, so with none beyond the next bucket."""
+    out = [1]
+    while out[-1] < 2**30:
+        out.append(out[-1] * 5 // 4 + 1)
+    return out
+
+
+BUCKETS = _buckets()
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
-    at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+def bits_for(size: int) -> int:
+    """Bits of the table for `size` bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_COUNTER).bit_length()))
+
+
+def _at(elements: np.ndarray, bits: int) -> np.ndarray:
+    return (elements >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _count(counts: np.ndarray, sets: list[np.ndarray], bits: int) -> None:
+    at, n = np.unique(_at(np.concatenate(sets), bits), return_counts=True)
     counts[at] = np.minimum(counts[at].astype(np.int64) + n, 2**31 - 1)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def describe(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
     """Rows of kind 0: id, size n and fingerprint (f1, f2) of each document's set. Rows of kind 1: a partition's element counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(COUNTERS, np.int32)
+        counts = np.zeros(1 << bits, np.int32)
         part = TaskContext.get().partitionId()
         for b in batches:
             n, f1, f2, waiting, size = [], [], [], [], 0
@@ -74,11 +103,11 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     f2.append(int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
                     waiting.append(s)
                     size += len(s)
-                    if size > COUNTERS:
-                        _count(counts, waiting)
+                    if size > COUNTED:
+                        _count(counts, waiting, bits)
                         waiting, size = [], 0
             if waiting:
-                _count(counts, waiting)
+                _count(counts, waiting, bits)
             k = len(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * k, pa.int32()), b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), _signed(np.array(f1, np.uint64)), _signed(np.array(f2, np.uint64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
@@ -98,31 +127,53 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _DESCRIBED = ["kind", "id", "n", "f1", "f2", "piece", "counts"]
 
 
-def _merge(groups: DataFrame, *keys: str) -> DataFrame:
+def _merge(groups: DataFrame, last: bool) -> DataFrame:
+    """Adds up the counts of each (piece, id), or of each piece as the last step, which gives levels, their sum and the sum of squares."""
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype("<i4").tobytes(), 1)]})
+        total = np.zeros(0, np.int64)
+        for x in pdf["counts"]:
+            own = np.frombuffer(zlib.decompress(x), "<i4")
+            total = own.astype(np.int64) if not len(total) else total + own
+        if last:
+            return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "counts": [zlib.compress(levels(total).tobytes(), 1)], "total": [float(total.sum())], "squares": [float((total.astype(float) ** 2).sum())]})
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "id": [pdf["id"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype("<i4").tobytes(), 1)]})
+
+    return groups.groupBy("piece").applyInPandas(add, "piece int, counts binary, total double, squares double") if last else groups.groupBy("piece", "id").applyInPandas(add, "piece int, id long, counts binary")
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: 0 of none, and 1 and more by their logarithms, rounded down."""
+    return np.minimum(255, 1 + np.floor(LEVELS * np.log2(np.maximum(counts, 1)) + 1e-9)).astype(np.uint8) * (counts > 0)
+
+
+class Counts:
+    """What the table tells: the level of each hashed element's count, their sum and sum of squares over the counters, and the level from which keys are hot."""
+
+    def __init__(self, table: np.ndarray, total: float, squares: float) -> None:
+        self.table, self.total, self.squares, self.bits = table, total, squares, int(len(table)).bit_length() - 1
+        self.hot = int(levels(np.array([max(HOT_LIST, int(total) >> 20)]))[0])
 
-    return groups.groupBy(*keys).applyInPandas(add, ", ".join(f"{k} {'long' if k == 'id' else 'int'}" for k in keys) + ", counts binary")
+    def of(self, elements: np.ndarray) -> np.ndarray:
+        return self.table[_at(elements, self.bits)]
 
 
-def element_counts(described: DataFrame) -> np.ndarray:
-    """The table of counts over all documents: partitions are added up in two steps, so that no task holds many of them."""
+def element_counts(described: DataFrame, bits: int) -> Counts:
+    """The table over all documents: partitions are added up in two steps, so that no task holds many of them."""
     rows = described.where("kind = 1").select("piece", F.pmod(F.hash("id"), F.lit(64)).cast("long").alias("id"), "counts")
-    out = np.zeros(COUNTERS, np.int32)
-    step = COUNTERS // PIECES
-    for r in _merge(_merge(rows, "piece", "id"), "piece").collect():  # PIECES rows of bounded size
-        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(zlib.decompress(r.counts), "<i4")
-    return out
+    out, step, total, squares = np.zeros(1 << bits, np.uint8), (1 << bits) // PIECES, 0.0, 0.0
+    for r in _merge(_merge(rows, False), True).collect():  # PIECES rows of bounded size
+        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
+        total, squares = total + r.total, squares + r.squares
+    return Counts(out, total, squares)
 
 
-def boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
+def boundary(sizes: dict[int, int], counts: Counts) -> int:
     """The number of elements up to which sets are light. sizes: number of sets by their size, where that is at most the largest boundary."""
-    total = max(1, int(counts.sum(dtype=np.int64)))
+    total = max(1.0, counts.total)
     # entries that an element finds in its list: how much heavier than even the counters are, seen from an element
-    entries = max(0.0, float((counts.astype(float) ** 2).sum()) / total / max(1.0, total / COUNTERS) - 1)
+    entries = max(0.0, counts.squares / total / max(1.0, total / len(counts.table)) - 1)
 
     def cost(x: int) -> float:
         light = sum(m * ((n // 5 + 2) * (n // 5 + 1) / 2 + (n * 5 >= 4 * (x + 1)) * (n // 5 + 1)) for n, m in sizes.items() if 4 <= n <= x)
@@ -131,18 +182,20 @@ def boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     return min(BOUNDARIES, key=cost)
 
 
-def keys_of(s: np.ndarray, counts: np.ndarray, light: int) -> np.ndarray:
-    """Keys of a set, of which two that link share at least one. Sets under 4 elements link with none but their equals."""
+def keys_of(s: np.ndarray, counts: Counts, light: int) -> np.ndarray:
+    """Keys of a set, of which two that link share at least one; the lowest bit of a key tells whether it may be hot. Sets under 4 elements link with none but their equals."""
     n = len(s)
     if n < 4:
         return s[:0]
-    rare = s[np.argsort(counts[(s >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[: n // 5 + 2]]
+    own = counts.of(s)
+    order = np.argsort(own, kind="stable")[: n // 5 + 2]
+    rare, hot = s[order], (own[order] >= counts.hot).astype(np.uint64)
     out = []
     if n <= light:
         i, j = np.triu_indices(len(rare), 1)
-        out.append(mix(rare[i] ^ mix(rare[j] + np.uint64(0x632BE59BD9B4E019))))
+        out.append(mix(rare[i] ^ mix(rare[j] + np.uint64(0x632BE59BD9B4E019))) & ~np.uint64(1) | hot[i] & hot[j])
     if n > light or 5 * n >= 4 * (light + 1):
-        out.append(rare[: n // 5 + 1])
+        out.append((rare & ~np.uint64(1) | hot)[: n // 5 + 1])
     return np.concatenate(out)
 
 
@@ -166,28 +219,55 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, name: str, make) ->
     return docs.select(id_col, text_col).mapInArrow(run, f"doc long, n int, {name} array<bigint>")
 
 
+def _beside(rows: DataFrame, few: DataFrame, key: str, broadcast: int) -> DataFrame:
+    """rows with the columns of few, a written table with one row per key: broadcast up to a bound, else joined by key and salt, so that a hot key's rows are dealt over SALTS tasks."""
+    if few.count() <= broadcast:
+        return rows.join(F.broadcast(few), key)
+    many = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(many, [key, "__salt"]).drop("__salt")
+
+
+def _of_key(rows: DataFrame, values: dict[str, Column], paths: list[str]) -> DataFrame:
+    """rows (a written table with key and hot) with aggregates over all rows of their key: by a window where a key's rows are few, by partial sums and a join back where it is hot."""
+    by = Window.partitionBy("key")
+    cold = rows.where("NOT hot").withColumns({k: v.over(by) for k, v in values.items()})
+    hot = rows.where("hot")
+    sums, path = written(hot.groupBy("key").agg(*[v.alias(k) for k, v in values.items()]), "hot-keys")
+    paths.append(path)
+    return cold.unionByName(_beside(hot, sums, "key", BROADCAST_KEYS))
+
+
 def components(edges: DataFrame, what: str = "components") -> tuple[DataFrame, list[str]]:
     """(v, c): the smallest vertex of the component of each vertex of edges (a, b), by alternating large and small stars.
 
-    Each step is a window over one end of the edges; nothing is collected but two sums that tell whether a step changed anything.
+    A vertex's smallest neighbour comes from an aggregate with partial sums and is joined back, so the centre of a large
+    star is in no task with all its edges: broadcast while there are few vertices, else by a join whose skewed
+    partitions Spark splits. Nothing is collected but two sums that tell whether a step changed anything.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, path = written(e, what)
-    paths, before, tasks = [path], None, 1 + e.count() // EDGES_PER_TASK
+    paths, before, count = [path], None, e.count()
+    tasks = 1 + count // EDGES_PER_TASK
+
+    def with_least(x: DataFrame) -> DataFrame:
+        # two vertices an edge at most, and no step adds vertices
+        m = x.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        return x.join(F.broadcast(m) if 2 * count <= BROADCAST_IDS else m, "a")
+
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", m).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = with_least(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = both.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # (b, m) of the larger neighbours; an edge to the smallest neighbour comes back with the small stars
-        keep = both.withColumn("m", m).where("m < a").select("a", F.col("m").alias("b"))
-        large = large.unionByName(keep).distinct().coalesce(tasks)
-        m = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", m)
+        keep = both.where("m < a").select("a", F.col("m").alias("b"))
+        large, path = written(large.unionByName(keep).distinct().coalesce(tasks), what)
+        paths.append(path)
+        small = with_least(large)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         e, path = written(small.coalesce(tasks), what)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        drop_path(e.sparkSession, paths.pop())
-        paths.append(path)
+        for old in paths:
+            drop_path(e.sparkSession, old)
+        paths = [path]
         if now == before:
             return e.select(F.col("a").alias("v"), F.col("b").alias("c")), paths
         before = now
@@ -202,37 +282,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    described, kept = written(describe(docs, id_col, text_col), "sets")
+    bits = bits_for(docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0])
+    described, _ = written(describe(docs, id_col, text_col, bits), "sets")
     sets = described.where("kind = 0").select("id", "n", "f1", "f2")
-    counts = element_counts(described)
+    counts = element_counts(described, bits)
     sizes = {r.n: r["count"] for r in sets.where(f"n <= {BOUNDARIES[-1] + 1}").groupBy("n").count().collect()}  # as many rows as sizes
     table, light = spark.sparkContext.broadcast(counts), boundary(sizes, counts)
 
     # Equal sets are one: all but the smallest id are left out of the join. Only groups of two and more are held.
     equal = sets.where("id IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most")).where("rep <> most").drop("most")
     equal, equal_path = written(equal, "equal")
-    reps = sets.where("id IS NOT NULL").join(equal, ["f1", "f2", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "n")
+    few = F.broadcast(equal) if equal.count() <= BROADCAST_IDS else equal
+    reps = sets.where("id IS NOT NULL").join(few, ["f1", "f2", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "n")
     reps, reps_path = written(reps, "reps")
 
-    keyed = _with_sets(docs, id_col, text_col, "keys", lambda s: keys_of(s, table.value, light))
-    alone = reps.where("id = rep").select(F.col("id").alias("doc")).distinct()
-    keyed = keyed.join(alone, "doc", "left_semi").select("doc", "n", F.explode("keys").alias("key"))
-    by = Window.partitionBy("key")
-    lists = keyed.withColumn("len", F.count("*").over(by)).where("len > 1")
-    lists, lists_path = written(lists.select("key", "doc", "n", "len"), "lists")
-    del keyed
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the keys
+    # of equal sets only the representative has keys: what is left out is broadcast up to a bound, and then not even encoded
+    copies, copies_path = written(reps.groupBy("id").agg(F.max(F.col("id") == F.col("rep")).alias("own")).where("NOT own").select(F.col("id").alias("doc")), "copies")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    make = lambda s: keys_of(s, table.value, light)
+    if copies.count() <= BROADCAST_IDS:
+        keyed = _with_sets(texts.join(F.broadcast(copies), "doc", "left_anti"), "doc", "text", "keys", make)
+    else:
+        keyed = _with_sets(texts, "doc", "text", "keys", make).join(copies, "doc", "left_anti")
+    keyed = keyed.select("doc", "n", F.explode("keys").alias("key")).withColumn("hot", F.col("key").bitwiseAND(F.lit(1)) == 1)
+    keyed = keyed.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int"))
+    # one shuffle of the keys: those that are not hot are whole in a task, and those that occur once go
+    lists = keyed.withColumn("len", F.count("*").over(Window.partitionBy("key", "salt"))).where("hot OR len > 1").drop("salt")
+    lists, lists_path = written(lists, "lists")
 
     pairs, groups = _candidates(lists, light)
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(groups.select("doc")).distinct()
     members, members_path = written(members, "members")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     whole, whole_path = written(_with_sets(texts.join(wanted, "doc", "left_semi"), "doc", "text", "s", lambda s: s), "whole")
 
     classes = _link(pairs, groups, whole)
-    old = [equal_path, lists_path, members_path, whole_path]
+    old = [equal_path, copies_path, lists_path, members_path, whole_path]
     # Sets that share an id are one document: their classes come together.
     result = _finish(sets, reps, classes)
     for p in old:
@@ -261,13 +346,15 @@ def _candidates(lists: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
     the intersection they need are left out.
     """
     near = "5 * least(n, n2) >= 4 * greatest(n, n2)"
+    paths: list[str] = []
+    hot, hot_path = written(lists.where("hot").groupBy("key").agg(F.count("*").alias("len")).where("len > 1"), "hot-lists")
+    lists = lists.where("NOT hot").unionByName(_beside(lists.where("hot").drop("len"), hot, "key", BROADCAST_KEYS))
     lists = lists.withColumn("more", F.count_if(F.col("len") > SHORT_LIST).over(Window.partitionBy("doc")).cast("int"))
     lists, lists_path = written(lists, "counted")
     long = lists.where(f"len > {SHORT_LIST}")
     # A leader is the member with the smallest hash, whatever the list: lists of the same members share it.
-    by = Window.partitionBy("key")
-    best = [F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("more").alias("m2"))).over(by) for k in range(LEADERS)]
-    led = long.withColumn("lead", F.array(*best)).select("doc", "n", "more", F.col("lead")[0]["d2"].alias("g"), F.explode(F.array_distinct("lead")).alias("l"))
+    best = {f"l{k}": F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("more").alias("m2"))) for k in range(LEADERS)}
+    led = _of_key(long, best, paths).select("doc", "n", "more", F.col("l0.d2").alias("g"), F.explode(F.array_distinct(F.array(*best))).alias("l"))
     led, led_path = written(led.distinct(), "led")
     star = led.select("doc", "n", "more", "l.d2", "l.n2", "l.m2", F.lit(0).alias("c"))
     short = lists.where(f"len <= {SHORT_LIST}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "more"))).alias("m"))
@@ -282,7 +369,7 @@ def _candidates(lists: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
     reach = "9 * (c + m + greatest(na - (na div 5 + 1), nb - (nb div 5 + 1))) >= 4 * (na + nb)"
     pairs, _ = written(found.where(f"least(na, nb) <= {light} OR {reach}").select("a", "b").distinct(), "pairs")
     groups, _ = written(led.select("g", "doc", "n").distinct(), "groups")
-    for p in (lists_path, led_path):
+    for p in (lists_path, led_path, hot_path, *paths):
         drop_path(lists.sparkSession, p)
     return pairs, groups
 
@@ -306,15 +393,24 @@ def _link(pairs: DataFrame, groups: DataFrame, whole: DataFrame) -> DataFrame:
 def _scan(groups: DataFrame, whole: DataFrame) -> DataFrame:
     """(a, b): links between classes within each group, enough to connect what is connected.
 
-    Members are dealt into blocks by the size of their sets, and each two blocks of a group meet in one task. There
-    the inverted lists of one block's elements are scanned for each set of the other, which counts whole intersections.
+    Members are dealt into buckets by the size of their sets, such that sets that link are in the same or neighbouring
+    ones, and the members of a bucket by a hash into blocks of about BLOCK_ELEMENTS elements. Each two blocks of a group whose
+    buckets are the same or neighbours meet in one task. There the inverted lists of one block's elements are scanned for
+    each set of the other, which counts whole intersections.
     """
-    open_ = groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    at = Window.partitionBy("g").orderBy("c", "doc").rowsBetween(Window.unboundedPreceding, 0)
-    rows = groups.join(open_, "g").withColumn("blk", F.floor(F.sum("n").over(at) / BLOCK_ELEMENTS))
-    last = rows.groupBy("g").agg(F.max("blk").alias("last"))
-    put = rows.join(last, "g").select("g", "doc", "c", "blk", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("o"))
-    put = put.select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc", "c").join(whole.select("doc", "s"), "doc")
+    classes = groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    classes, classes_path = written(classes, "open")
+    rows = _beside(groups, classes, "g", BROADCAST_KEYS).withColumn("s", F.expr(f"size(filter(array({', '.join(map(str, BUCKETS))}), b -> b <= n))"))
+    rows, rows_path = written(rows, "members-of-open")
+    blocks = rows.groupBy("g", "s").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    blocks, _ = written(blocks.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("s", "blocks"))).alias("blocks")), "blocks")  # a bucket an entry, of BUCKETS at most
+    rows = _beside(rows, blocks, "g", BROADCAST_KEYS).withColumn("k", F.expr("CAST(pmod(xxhash64(doc), blocks[s]) AS INT)"))
+    # each block that a member's own one meets, as (i, j) in order
+    other = "flatten(transform(filter(array(s - 1, s, s + 1), x -> blocks[x] IS NOT NULL), x -> transform(sequence(0, blocks[x] - 1), y -> struct(x AS s, y AS k))))"
+    put = rows.withColumn("own", F.expr("struct(s, k)")).withColumn("o", F.explode(F.expr(other)))
+    put = put.select("g", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own", "doc", "c")
+    number = lambda x: F.expr(f"{x}.s * 16777216L + {x}.k")
+    put = put.select("g", number("p").alias("i"), number("q").alias("j"), number("own").alias("blk"), "doc", "c").join(whole.select("doc", "s"), "doc")
 
     def meet(key, t):
         docs, c, blk = (t[x].to_numpy() for x in ("doc", "c", "blk"))

@@ -65,9 +65,13 @@ def corpus(seed, n=260):
     return [*rows, rows[-1]]
 
 
-@pytest.mark.parametrize("light", [None, 0, 96])
+@pytest.mark.parametrize("light", [None, 0, 96, "hot"])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, light):
-    if light is not None:
+    if light == "hot":  # every key counts as hot, nothing is small enough to broadcast, and the table is of few counters
+        for name, value in (("HOT_LIST", 1), ("BROADCAST_KEYS", -1), ("BROADCAST_IDS", -1), ("MOST_BITS", 8), ("LEAST_BITS", 8)):
+            monkeypatch.setattr(jaccard, name, value)
+        light = None
+    elif light is not None:
         monkeypatch.setattr(jaccard, "BOUNDARIES", (light,))
     monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 700)
     rows = corpus(5 if light is None else light)
@@ -83,6 +87,18 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, light):
     assert all(r.n_shingles == sizes[r.doc_id] for r in got)
 
 
+def test_size_buckets_hold_all_that_links():
+    for n in [*range(1, 3000), 10**6, 10**8]:
+        own, far = (sum(b <= x for b in jaccard.BUCKETS) for x in (n, 5 * n // 4))
+        assert far - own <= 1
+
+
+def test_levels_are_in_the_order_of_counts():
+    counts = np.arange(0, 5000, dtype=np.int64)
+    got = jaccard.levels(counts).astype(int)
+    assert got[0] == 0 and got[1] == 1 and (np.diff(got) >= 0).all() and jaccard.levels(np.array([2**31 - 1]))[0] < 255
+
+
 def test_jaccard_join_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(empty).count() == 0
