@@ -263,6 +263,111 @@ def test_site_style_tree_removes_what_repeats(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_tree(pages):
+    """Per path of a host (from the root, as tags with their classes): share of exp(entropy) of contents and of presentations, and of different contents."""
+    import math
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    seen = {}
+    for html in set(pages):
+        root = {"path": (), "text": [], "kids": []}
+        stack, every = [root], []
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                name = tag + "".join(f".{v}" for k, v in attrs if k in ("class", "id"))
+                node = {"path": (*stack[-1]["path"], name), "text": [], "kids": []}
+                stack[-1]["kids"].append(name)
+                every.append(node)
+                stack.append(node)
+
+            def handle_endtag(self, tag):
+                stack.pop()
+
+            def handle_data(self, data):
+                if data.strip():
+                    for n in stack:
+                        n["text"].append(" ".join(data.split()))
+
+        Reader().feed(html)
+        own = {}
+        for n in every:
+            text, kids = own.setdefault(n["path"], ([], []))
+            text.append(tuple(n["text"]))
+            kids += n["kids"]
+        for path, (text, kids) in own.items():
+            seen.setdefault(path, []).append((tuple(text), tuple(kids)))
+    out = {}
+    for path, values in seen.items():
+        texts, kids = [v[0] for v in values], [v[1] for v in values]
+        h = lambda xs: -sum(n / len(xs) * math.log(n / len(xs)) for n in Counter(xs).values())
+        out[path] = (len(values), len(set(texts)) / len(texts), math.exp(h(texts)) / len(texts), math.exp(h(kids)) / len(kids))
+    return out
+
+
+def site(seed, n):
+    """Pages without any mark: menus, adverts and footers are one of five variants, articles are their own, and one of them is on a third of the pages."""
+    r, pages = random.Random(seed), []
+    words = lambda k: " ".join(f"w{r.randrange(900)}" for _ in range(k))
+    pool, hot = [[words(4) for _ in range(5)] for _ in range(3)], words(30)
+    for k in range(n):
+        parts = [r.choice(x) for x in pool]
+        own = hot if k % 3 == 0 else words(r.randint(5, 30))
+        ads = "".join(f'<div class="b">{parts[1]}</div>' for _ in range(r.randint(1, 2)))
+        pages.append((f'<html><body><div class="a"><ul><li>{parts[0]}</li></ul></div>{ads}<div class="t"><p>{own}</p><p>{words(3)}</p></div><div class="z">{parts[2]}</div></body></html>', own))
+    return pages
+
+
+def test_style_tree_equals_a_plain_one(spark):
+    pages = [h for h, _ in site(1, 60)]
+    rows = [(k, "http://S.example/x", h) for k, h in enumerate([*pages, pages[0]])]
+    got = html_extract.importance(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {}
+    for path, values in plain_tree(pages).items():
+        at = 0
+        for name in path:
+            at = (at * 0x100000001B3 + html_extract._key(name)) & html_extract._MASK
+        want[at] = values
+    assert {r.path for r in got} == set(want) and {r.host for r in got} == {"s.example"}
+    for r in got:
+        n, variety, content, presentation = want[r.path]
+        assert r.pages == n and abs(r.variety - variety) < 1e-9 and abs(r.content - content) < 1e-9 and abs(r.presentation - presentation) < 1e-9
+        assert abs(r.importance - (max(content, presentation / 2) * n + 0.25) / (n + 0.25)) < 1e-9
+
+
+def test_style_tree_finds_unmarked_articles(spark):
+    """No tag and no name says what is what: menus, adverts and footers go by their entropy alone, articles stay, the one on a third of the pages too."""
+    pages = site(2, 90)
+    got = html_extract.extract(spark.createDataFrame([(k, "http://s.example/x", h, "x") for k, (h, _) in enumerate(pages)], "page_id long, url string, html string, text string")).collect()
+    for r in got:
+        assert r.text.startswith(pages[r.page_id][1]) and len(r.text.split()) == len(pages[r.page_id][1].split()) + 3 and r.by_tree >= 3
+
+
+def test_style_tree_of_few_pages(spark):
+    rows = [(k, "http://few.example/", f"<div class='m'>Same</div><div class='t'>{'one article' if k < 5 else k}</div><i>{k}</i>") for k in range(4)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text for r in got)
+
+
+@pytest.mark.parametrize("make", [lambda n: "<i>" * n + "</x>" * n, lambda n: "<div>t" * n, lambda n: "<i>" * n + "<hr>" * n, lambda n: "<i><div>" * n + "</i>" * n, lambda n: "<svg>" * n + "</svg>" * n + "x", lambda n: "<a '" * n + '"<b "' * n])
+def test_parsing_takes_time_in_proportion(make):
+    import time
+
+    def took(n):
+        begun = time.perf_counter()
+        html_extract.nodes(make(n))
+        html_extract.main_text(make(n))
+        return time.perf_counter() - begun
+
+    took(500)
+    assert took(40_000) < 30 * max(took(4000), 0.01)
+
+
+def test_math_is_text_and_nested_svg_is_not():
+    assert html_extract.main_text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<svg><svg><text>a</text></svg><text>b</text></svg> here<template><template>t</template>u</template>.") == "so x=2 holds here."
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
