@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import prepare, written
 
-#: Rows that centroids, code books, probes and bars are fitted on, by the smallest hashes of vec_id.
-SAMPLE_ROWS = 16_384
+#: Rows that centroids, code books, probes and bars are fitted on, by the smallest hashes of vec_id: 16 for each list, within these bounds.
+SAMPLE_ROWS, SAMPLE_MOST = 16_384, 131_072
+#: Rows whose products with all centroids or with the whole sample are in memory at a time.
+CHUNK = 512
 #: Parts of a vector that are quantised each by itself, and code words of each.
 PARTS, WORDS = 32, 256
 #: Candidates of a query that are reranked exactly.
-RERANK = 120
+RERANK = 160
 #: Share of the sample's true neighbours that the probed lists must hold.
-TARGET = 0.985
+TARGET = 0.965
 #: Rows of the index, and queries, that meet in one task.
 INDEX_BLOCK, QUERY_BLOCK = 8192, 8192
 
@@ -35,10 +37,23 @@ def valid(c: Column) -> Column:
     return F.coalesce(finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def sample_rows(rows: int) -> int:
+    return min(SAMPLE_MOST, max(SAMPLE_ROWS, 16 * math.isqrt(rows)))
+
+
+def _chunked(f, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([f(x[k : k + CHUNK]) for k in range(0, max(len(x), 1), CHUNK)])
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    bias = 0.5 * (c * c).sum(1)
+    return _chunked(lambda own: np.argmax(own @ c.T - bias, 1), x)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(steps):
-        a = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), 1)
+        a = _nearest(x, c)
         total = np.zeros_like(c)
         np.add.at(total, a, x)
         n = np.bincount(a, minlength=len(c))
@@ -53,7 +68,8 @@ class Index:
         rng = np.random.default_rng(seed)
         self.dim, self.rows, self.sample = sample.shape[1], rows, sample
         self.width = PARTS * math.ceil(self.dim / PARTS)
-        self.centroids = _kmeans(sample, max(1, min(len(sample) // 64, int(math.sqrt(rows)))), rng)
+        # as many lists as the root of the rows, which with the sample grow up to SAMPLE_MOST / 16
+        self.centroids = _kmeans(sample, max(1, min(len(sample) // 16, math.isqrt(rows))), rng)
         rest, _ = self._directions(self._padded(sample - self.centroids[self.assign(sample)]))
         d = self.width // PARTS
         self.books = [_kmeans(rest[:, m * d : (m + 1) * d], WORDS, rng) for m in range(PARTS)]
@@ -65,7 +81,7 @@ class Index:
         return np.pad(x, ((0, 0), (0, self.width - self.dim))) if self.width > self.dim else x
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return np.argmax(x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1), 1)
+        return _nearest(x, self.centroids)
 
     @staticmethod
     def _directions(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +92,7 @@ class Index:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lists, d = self.assign(x), self.width // PARTS
         rest, size = self._directions(self._padded(x - self.centroids[lists]))
-        codes = [np.argmax(rest[:, m * d : (m + 1) * d] @ b.T - 0.5 * (b * b).sum(1), 1) for m, b in enumerate(self.books)]
+        codes = [_nearest(rest[:, m * d : (m + 1) * d], b) for m, b in enumerate(self.books)]
         return lists, np.stack(codes, 1).astype(np.uint8), size.astype(np.float32)
 
     def _probes(self, k: int) -> int:
@@ -89,11 +105,11 @@ class Index:
         return int(need[min(len(need) - 1, int(TARGET * len(need)))]) + 1 if len(need) else len(self.centroids)
 
     def lists_of(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")[:, : self.probes]
+        return _chunked(lambda own: np.argsort(-(own @ self.centroids.T), 1, kind="stable")[:, : self.probes], q)
 
     def bars(self, q: np.ndarray) -> np.ndarray:
-        s = q @ self.sample.T
-        return np.partition(s, len(self.sample) - 1 - self.bar_rank, 1)[:, len(self.sample) - 1 - self.bar_rank]
+        at = len(self.sample) - 1 - self.bar_rank
+        return _chunked(lambda own: np.partition(own @ self.sample.T, at, 1)[:, at], q)
 
     def scores(self, q: np.ndarray, which: int, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Approximate inner products of queries with the rows of a list, from the queries' tables."""
@@ -113,15 +129,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     Queries do not find themselves. Vectors that are null, empty, zero, or hold null or non-finite components, rows
     with a null id, and vectors of another size than most of the sample take no part. Rows that share an id are one item,
-    which counts with its best score. A query gets fewer than k rows only where there are fewer. Other columns are left out.
+    which counts with its best score. A query gets fewer than k rows only where there are fewer. Other columns, whatever
+    their names, are left out; an empty table gives an empty result. Vectors that are finite but outside the range of
+    32-bit numbers are not in the index: they are compared one by one.
     """
     prepare(vectors.sparkSession)
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"), is_query.alias("q"), F.col(vec_col).cast("array<double>").alias("x"))
-    rows = rows.where(valid(F.col("x")) & valid(F.col("v")) & F.col("id").isNotNull())
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"].combine_chunks()  # SAMPLE_ROWS at most
+    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"), is_query.alias("q"), F.col(vec_col).cast("array<double>").alias("x"))
+    every = every.where(valid(F.col("x")) & F.col("id").isNotNull())
+    rows = every.where(valid(F.col("v")))
+    # SAMPLE_MOST at most
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows(rows.count())).select("v").toArrow()["v"].combine_chunks()
     if not len(picked):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        dim = every.agg(F.max(F.size("x"))).first()[0]
+        every = every.where(F.size("x") == F.lit(dim))
+        return _named(brute(every, every.where("q").select(F.col("id").alias("query"), F.col("x").alias("qx")), k))
     sizes = np.diff(picked.offsets.to_numpy())
     dim = int(np.bincount(sizes).argmax())
     rows = rows.where(F.size("v") == dim)
@@ -159,14 +181,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     coded, _ = written(rows.select("id", "v").mapInArrow(index, "list int, id long, code binary, size float"), "ivf")
     queries, _ = written(rows.where("q").select("id", "v").mapInArrow(probe, "query long, lists array<int>, bar float, qv array<float>"), "queries")
-    counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row per list
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    # Long lists are dealt over blocks, and queries over blocks: a task holds one of each.
-    blocks = F.create_map(*[F.lit(x) for i, c in counts.items() for x in (i, max(1, -(-c // INDEX_BLOCK)))])
-    left = coded.withColumn("blk", F.pmod(F.xxhash64("id"), blocks[F.col("list")]).cast("int"))
-    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))) if query_blocks > 1 else left.withColumn("qb", F.lit(0))
-    right = queries.withColumn("list", F.explode("lists")).drop("lists").where(F.col("list").isin(*counts))
-    right = right.withColumn("blk", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1))).withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int"))
+    # A long list is dealt over blocks, and so are the queries that probe it: a task holds one of each. No list meets queries that do not probe it.
+    probed = queries.withColumn("list", F.explode("lists")).drop("lists")
+    blocks = lambda c, size: F.ceil(F.count("*") / size).cast("int").alias(c)
+    deal = coded.groupBy("list").agg(blocks("blocks", INDEX_BLOCK)).join(probed.groupBy("list").agg(blocks("asked", QUERY_BLOCK)), "list")
+    deal, _ = written(deal, "lists")  # a row per list
+    left = coded.join(F.broadcast(deal), "list").withColumn("blk", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
+    right = probed.join(F.broadcast(deal), "list").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("qb", F.pmod(F.xxhash64("query"), "asked").cast("int"))
+    left, right = left.drop("blocks", "asked"), right.drop("blocks", "asked")
     keys = ["list", "blk", "qb"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, id long, near float")
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "id"))).where(f"r <= {RERANK}")
@@ -183,14 +205,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     if not short.isEmpty():
         again = brute(rows, own.join(short, "query", "left_semi"), k)
         ranked = ranked.join(short, "query", "left_anti").unionByName(again)
+    odd = every.where(~valid(F.col("v")) & (F.size("x") == dim))
+    if not odd.isEmpty():
+        asked = lambda x: x.where("q").select(F.col("id").alias("query"), F.col("x").alias("qx"))
+        more = brute(odd, asked(rows), k).unionByName(brute(every.where(F.size("x") == dim), asked(odd), k))
+        both = ranked.unionByName(more.withColumn("rank", F.col("rank").cast("int"))).groupBy("query", "id").agg(F.max("score").alias("score"))
+        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(f"rank <= {k}")
+    return _named(ranked)
+
+
+def _named(ranked: DataFrame) -> DataFrame:
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
 def brute(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank) of a stated set of queries against all rows: each block of rows keeps its own best k of a query."""
     blocks = 64
-    deal = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("blk"))
-    asked = queries.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    deal = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint").alias("blk"))
+    asked = queries.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     exact = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     s = asked.join(deal, "blk").where("id <> query").select("blk", "query", "id", exact.alias("score")).groupBy("blk", "query", "id").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.col("id")]

@@ -400,6 +400,28 @@ def test_nearest_neighbours_of_few(spark):
     assert ann.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_outside_the_range_of_floats_and_clashing_names(spark):
+    rows = [(0, [1e200, 0.0], 1, 2.0), (20, [1.0, 1.0], 1, 2.0), (3, [2.0, 0.0], 1, 2.0), (4, [-1e-60, 0.0], 1, 2.0), (5, [0.0, 3.0], 1, 2.0)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double"), F.col("vec_id") % 20 == 0).collect()
+    want = {}
+    for q, x, *_ in rows:
+        if q % 20 == 0:
+            near = sorted(((-float(np.dot(x, y)), i) for i, y, *_ in rows if i != q))
+            want[q] = [(r, i, -s) for r, (s, i) in enumerate(near, 1)]
+    assert {q: sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) for q in want} == want
+
+
+def test_nearest_neighbours_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = {tuple(r) for r in ann.search(table, F.col("vec_id") % 20 == 0).collect()}
+    for name in ("INDEX_BLOCK", "QUERY_BLOCK", "CHUNK"):
+        monkeypatch.setattr(ann, name, 7)
+    parts = {tuple(r) for r in ann.search(table, F.col("vec_id") % 20 == 0).collect()}
+    assert len(whole & parts) >= 0.95 * len(whole) and len(parts) == len(whole)
+
+
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
