@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytesx import PNG_SIGNATURE, be, holds, le, part, raw, starts, u8
+from ..parsers import Malformed, jpeg, xmp
 from ..parsers.bmff import JXL_SIGNATURE
 from ..parsers.jpeg import scaled_table
+from ..parsers.regions import holds_manifest
+from .tables import prepare
 
 #: Bytes of a file's head that detection reads, and those that it needs.
 HEAD, LEAST = 4096, 12
@@ -26,10 +30,10 @@ def is_heif(head: Column) -> Column:
 
 
 def looks_like_svg(head: Column) -> Column:
-    """`<svg` in any case, in UTF-8 or UTF-16."""
-    text = F.upper(F.hex(head))
+    """`<svg` in any case, in UTF-8 or in UTF-16 of either byte order, at whole bytes."""
+    text = F.hex(head)
     plain = F.lower(F.decode(head, "ISO-8859-1")).contains("<svg")
-    return plain | F.lower(F.decode(F.unhex(F.replace(text, F.lit("00"), F.lit(""))), "ISO-8859-1")).contains("<svg")
+    return plain | text.rlike("^(?:..)*?3C00[57]300[57]600[46]700") | text.rlike("^(?:..)*?003C00[57]300[57]600[46]7")
 
 
 def detect(content: Column, ext: Column) -> Column:
@@ -59,16 +63,35 @@ def has_end_marker(content: Column, fmt: Column) -> Column:
     )
 
 
+@F.pandas_udf("boolean")
+def _manifest(content: pd.Series, fmt: pd.Series) -> pd.Series:
+    return pd.Series([c is not None and holds_manifest(c, f) for c, f in zip(content, fmt)], dtype="bool")
+
+
+@F.pandas_udf("string")
+def _structure(content: pd.Series, fmt: pd.Series) -> pd.Series:
+    """What the structure of a JPEG or SVG says against changing it."""
+
+    def one(data, f):
+        if data is None:
+            return None
+        try:
+            if f == "svg":
+                return "uncheckable" if xmp.uncheckable(data) else None
+            return {"": None, "video": "motionPhotoVideo"}.get(jpeg.layout(data).problem, "unreadableImages")
+        except Malformed:
+            return "damaged" if f == "jpeg" else None
+
+    return pd.Series([one(c, f) for c, f in zip(content, fmt)], dtype="object")
+
+
 def has_credentials(content: Column, fmt: Column) -> Column:
-    """Content credentials, looked for where metadata lives: caBX chunks, APP11 segments with jumb and c2pa, jumb boxes, manifests in SVG."""
-    return (
-        F.when(fmt == "svg", F.contains(F.decode(content, "ISO-8859-1"), F.lit("c2pa:manifest")))
-        .when(fmt == "png", holds(content, b"caBX") & holds(content, b"c2pa"))
-        .when(fmt == "jpeg", holds(content, b"\xff\xeb") & holds(content, b"jumb") & holds(content, b"c2pa"))
-        .when(fmt.isin("jxl", "heic"), holds(content, b"jumb") & holds(content, b"c2pa"))
-        .when(fmt == "webp", holds(content, b"C2PA"))
-        .otherwise(F.lit(False))
-    )
+    """Content credentials where a format keeps its metadata, never in image data: in APP11 segments, chunks, boxes, and as an element of SVG.
+
+    A search of the whole file, without Python, says which files can have them; only those are taken apart.
+    """
+    may = (fmt != "svg") & holds(content, b"c2pa")
+    return F.when(fmt == "svg", F.contains(F.decode(content, "ISO-8859-1"), F.lit("c2pa:manifest"))).otherwise(may & _manifest(F.when(may, content), fmt))
 
 
 def is_apple_png(content: Column) -> Column:
@@ -79,9 +102,12 @@ def is_apple_png(content: Column) -> Column:
 def reason(files: DataFrame, disabled: list[str] | None = None, replacing: bool = False) -> DataFrame:
     """files (content, ext, and if replacing writable) with format and reason: the first of the ladder that holds, or NULL of an admitted file.
 
-    One projection without Python. Layout, SVG and codec reasons, which need parsers, follow on what is admitted here.
+    Places of fixed bytes are looked at without Python. Parsers run on JPEG and SVG files, for layouts that must stay and for
+    what a rendering cannot check, and on files in which the words of content credentials occur.
     """
+    prepare(files.sparkSession)
     one = files.withColumn("format", detect(F.col("content"), F.col("ext")))
+    one = one.withColumn("__s", _structure(F.when(F.col("format").isin("jpeg", "svg"), F.col("content")), F.col("format")))
     c, fmt = F.col("content"), F.col("format")
     ladder = F.when(F.length(c) == 0, "empty").when(fmt.isNull(), "notAnImage")
     if replacing:
@@ -90,8 +116,8 @@ def reason(files: DataFrame, disabled: list[str] | None = None, replacing: bool
         ladder = ladder.when(fmt.isin(*disabled), "turnedOff")
     return one.withColumn(
         "reason",
-        ladder.when((fmt != "svg") & ~has_end_marker(c, fmt), "damaged").when(has_credentials(c, fmt), "contentCredentials").when((fmt == "png") & is_apple_png(c), "appleCgBI").when(fmt == "gif", "notSupported"),
-    )
+        ladder.when((fmt != "svg") & ~has_end_marker(c, fmt), "damaged").when(has_credentials(c, fmt), "contentCredentials").when((fmt == "png") & is_apple_png(c), "appleCgBI").when(F.col("__s").isNotNull(), F.col("__s")).when(fmt == "gif", "notSupported"),
+    ).drop("__s")
 
 
 def orientation(value: Column) -> Column:

@@ -45,10 +45,15 @@ def dangling(child: DataFrame, reference: str, parent: DataFrame, key: str) -> D
     return child.join(parent.select(F.col(key).alias("__k")).distinct(), F.col(reference) == F.col("__k"), "left_anti")
 
 
-def contained(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, keys: list[str] | None = None, width: int = 100) -> DataFrame:
-    """points joined with the ranges [lo, hi) that hold them. Both go to cells of `width`, so the join is on equal cells, not on all pairs."""
+def contained(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """points joined with the ranges [lo, hi) that hold them. Both go to cells of `width`, so the join is on equal cells, not on all pairs.
+
+    Without a width it is the mean length of the ranges, so that a range is in about two cells whatever the unit is.
+    """
+    held = ranges.where(F.col(lo) < F.col(hi))
+    width = width or max(1, int(held.agg(F.avg(F.col(hi) - F.col(lo))).first()[0] or 1))
     p = points.withColumn("__cell", F.floor(F.col(at) / width))
-    r = ranges.where(F.col(lo) < F.col(hi)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
+    r = held.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
     return p.join(r, [*(keys or []), "__cell"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__cell")
 
 
@@ -133,21 +138,46 @@ def gaps(df: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
 # Differences of samples.
 
 
-def mean_difference(a: Column, b: Column) -> Column:
-    """Mean difference of two sample arrays relative to the range of a; NaN in both is equal, in one the full range; a flat a counts as 1."""
-    values = F.filter(a, lambda x: ~F.isnan(x))
-    span = F.array_max(values) - F.array_min(values)
-    span = F.when(span > 0, span).otherwise(F.lit(1.0))
-    each = F.zip_with(a, b, lambda x, y: F.when(F.isnan(x) & F.isnan(y), 0.0).when(F.isnan(x) | F.isnan(y), span).otherwise(F.abs(x - y)))
-    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(a) / span
-
-
-def worst_block(a: Column, b: Column, width: int = 8) -> Column:
-    """Largest mean absolute difference of a block of `width` samples."""
-    each = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    n = F.floor((F.size(each) - 1) / width)
-    blocks = F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda k: F.slice(each, (k * width + 1).cast("int"), width))
-    return F.array_max(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)))
+def mean_difference(a: Column, b: Column, flat: float = 1.0) -> Column:
+    """Mean difference of two sample arrays relative to the range of a; NaN in both is equal, in one the full range.
+
+    The range is that of the samples of a which both have; of a flat image it is `flat`, 255 for bytes. A mean that is not finite is infinite.
+    """
+    both = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    one = F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.isnan(p["x"]) != F.isnan(p["y"])))
+    xs = F.transform(both, lambda p: p["x"])
+    span = F.coalesce(F.array_max(xs) - F.array_min(xs), F.lit(0.0))
+    total = F.aggregate(both, F.lit(0.0), lambda s, p: s + F.abs(p["x"] - p["y"]))
+    mean = (total / F.when(span > 0, span).otherwise(F.lit(flat)) + one) / F.size(a)
+    return F.when(F.isnan(mean) | (F.abs(mean) == float("inf")), F.lit(float("inf"))).otherwise(mean)
+
+
+def block_difference(samples: DataFrame, by: list[str], x: str, y: str, a: str, b: str, width: int = 8) -> DataFrame:
+    """(by…, mean, block, largest) of rows (by…, x, y, a, b), one per sample of a channel: the mean absolute difference, that of the worst block of width x width pixels, and the largest one.
+
+    Two aggregates, by block and then by image, both with partial sums.
+    """
+    d = samples.withColumn("__d", F.abs(F.col(a) - F.col(b)))
+    blocks = d.groupBy(*by, F.floor(F.col(x) / width).alias("__bx"), F.floor(F.col(y) / width).alias("__by")).agg(F.sum("__d").alias("__s"), F.count("*").alias("__n"), F.max("__d").alias("__m"))
+    return blocks.groupBy(*by).agg((F.sum("__s") / F.sum("__n")).alias("mean"), F.max(F.col("__s") / F.col("__n")).alias("block"), F.max("__m").alias("largest"))
+
+
+def placed_items(items: DataFrame, by: list[str], order: str, length: str, padding: str, total: Column, from_photo: Column) -> DataFrame:
+    """items with start and end, those after the first of a container: laid one after the other right after the photo, or counted from the end of the `total` bytes after it.
+
+    Padding lies behind an item. Items of a container that does not fit have none.
+    """
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(order)) == 1
+    back = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    one = F.col(length) + F.col(padding)
+    forward = F.sum(F.when(F.col("__first"), F.col(padding)).otherwise(one)).over(ahead)
+    got = items.withColumn("__first", first).withColumn("__total", total)
+    got = got.withColumn("start", F.when(from_photo, forward).otherwise(F.col("__total") - F.sum(F.when(~F.col("__first"), one)).over(back)))
+    got = got.withColumn("end", F.col("start") + F.col(length))
+    wrong = (F.col(length) > F.col("__total")) | (F.col(padding) > F.col("__total")) | (~F.col("__first") & ((F.col("start") < 0) | (F.col("end") > F.col("__total"))))
+    got = got.withColumn("__fits", F.max(wrong.cast("int")).over(Window.partitionBy(*by)) == 0)
+    return got.where("__fits AND NOT __first").drop("__first", "__total", "__fits")
 
 
 def rendering_differs(pixels: Column, differing: Column, strong: Column, strict: bool) -> Column:

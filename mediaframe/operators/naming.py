@@ -9,13 +9,13 @@ from ..functions.scalars import parent
 
 
 def destination(path: Column, root: Column, mode: str, suffix: str = "-small", folder: str | None = None) -> Column:
-    """Target path: the file itself, its name with the suffix, or its place below root again below folder. A folder that is the file's own replaces it."""
+    """Target path: the file itself, its name with the suffix, or below folder the root's own name and the place below root, so that files of two roots do not collide. A target that is the file's own path replaces it."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     if mode == "replace":
         return path
     if mode == "suffix":
         return F.concat(F.regexp_replace(path, r"(\.[^./]*)?$", ""), F.lit(suffix), F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    below = F.when(root.isNotNull() & F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.lit(2**31 - 1))).otherwise(name)
+    below = F.when(root.isNotNull() & F.startswith(path, F.concat(root, F.lit("/"))), F.concat(F.regexp_extract(root, r"([^/]*)$", 1), F.lit("/"), F.substring(path, F.length(root) + 2, F.lit(2**31 - 1)))).otherwise(name)
     return F.concat(F.lit(folder.rstrip("/") + "/"), below)
 
 

@@ -17,7 +17,20 @@ from ..plans import policy
 from ..plans.codecs import redeflate_png
 from .tables import prepare
 
-SRGB_TEXT = b"sRGB IEC61966-2.1"
+# Ids of the standard sRGB profiles, and checksum and length of those without an id.
+SRGB_IDS = {"29f83ddeaff255ae7842fae4ca83390d", "c95bd637e95d8a3b0df38f99c1320389", "fc66337837e2886bfd72e9838228f1b8", "34562abf994ccd066d2c5721d0d68c5d"}
+SRGB_WITHOUT_ID = {(0x5D5129CE, 3024), (0x182EA552, 3144), (0xF29E526D, 3144)}
+
+
+def srgb_intent(profile: bytes) -> int | None:
+    """The rendering intent of a standard sRGB profile, which an sRGB chunk says as well; None of any other, whatever its name."""
+    if len(profile) < 128 or not int.from_bytes(profile[64:68], "big") <= 3:
+        return None
+    own, zero = profile[84:100], lambda n: b"\0" * n
+    if own.hex() in SRGB_IDS:
+        plain = profile[:44] + zero(4) + profile[48:64] + zero(4) + profile[68:84] + zero(16) + profile[100:]
+        return profile[67] if hashlib.md5(plain).digest() == own else None
+    return profile[67] if not any(own) and (zlib.crc32(profile), len(profile)) in SRGB_WITHOUT_ID else None
 #: Segments hold at most this many bytes.
 SEGMENT_BYTES = 65533
 
@@ -65,9 +78,9 @@ def filter_png(data: bytes, level: str) -> bytes:
                 if body:
                     out.append((c.kind, body))
                     kept_exif = True
-        elif c.kind == "iCCP" and (t := png.text_of("iCCP", c.data)) and t[1] and SRGB_TEXT in t[1]:
+        elif c.kind == "iCCP" and (t := png.text_of("iCCP", c.data)) and t[1] and (intent := srgb_intent(t[1])) is not None:
             if all(k != "sRGB" for k, _ in out):
-                out.append(("sRGB", b"\0"))
+                out.append(("sRGB", bytes([intent])))
         elif c.kind in ("tEXt", "zTXt", "iTXt"):
             t = png.text_of(c.kind, c.data)
             if level == "keep":

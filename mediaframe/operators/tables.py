@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..parsers import Malformed, bmff, iptc, jpeg, png, riff, tiff, xmp
+from ..parsers import Malformed, bmff, iptc, jpeg, png, regions, riff, tiff, xmp
 
 
 def prepare(spark) -> None:
@@ -158,3 +158,8 @@ def violations(df: DataFrame, keys: list[str], fmt: str, column: str = "content"
     if check is None:
         raise ValueError(f"no structure check of {fmt}")
     return table_function(df, keys, column, check, "rule string, ordinal bigint").drop("error")
+
+
+def metadata_regions(df: DataFrame, keys: list[str], column: str = "content") -> DataFrame:
+    """(keys…, ordinal, kind, data, error): where a file keeps its metadata; a file that cannot be taken apart is one region of no kind."""
+    return table_function(df, keys, column, lambda data: [(i, k, x) for i, (k, x) in enumerate(regions.regions(data))], "ordinal int, kind string, data binary")

@@ -263,7 +263,7 @@ class Layout(NamedTuple):
 
 def holds_video(data: bytes) -> bool:
     """Whether data after a photo is a video: a box `ftyp` of a likely size, or one of the marks that cameras write."""
-    if b"SEFT" in data or b"MotionPhoto_Data" in data:
+    if data.endswith(b"SEFT") or b"MotionPhoto_Data" in data:
         return True
     at = data.find(b"ftyp")
     while at >= 4:

@@ -90,25 +90,10 @@ def write(fields: list[tuple[int, int, int, bytes]], big: bool = False) -> bytes
     return (b"MM" if big else b"II") + struct.pack(o + "HIH", 42, 8, len(fields)) + b"".join(head) + struct.pack(o + "I", 0) + tail
 
 
-def filtered(data: bytes, keep) -> bytes:
-    """The block with the entries that keep(ifd, tag) allows; GPS and IFD1 never; empty if nothing is left."""
-    t = Tiff(data)
-    own = [e for e in entries(data) if e.ifd in ("ifd0", "exif", "interop") and e.tag not in POINTERS and keep(e.ifd, e.tag)]
-    first = [(e.tag, e.kind, e.count, e.value) for e in own if e.ifd == "ifd0"]
-    exif = [(e.tag, e.kind, e.count, e.value) for e in own if e.ifd == "exif"]
-    if not first and not exif:
-        return b""
-    if not exif:
-        return write(first, t.big)
-    # the EXIF directory follows the first one; its own offsets count from the start of the block
-    o = ">" if t.big else "<"
-    main = write([*first, (0x8769, 4, 1, struct.pack(o + "I", 0))], t.big)
-    main += b"\0" * (len(main) % 2)
-    main = write([*first, (0x8769, 4, 1, struct.pack(o + "I", len(main)))], t.big)
-    main += b"\0" * (len(main) % 2)
-    base = len(main) + 2 + 12 * len(exif) + 4
-    head, tail = [], b""
-    for tag, kind, count, value in sorted(exif):
+def _directory(fields: list[tuple[int, int, int, bytes]], at: int, o: str) -> bytes:
+    """A directory that lies at offset `at`, with its values behind it."""
+    base, head, tail = at + 2 + 12 * len(fields) + 4, [], b""
+    for tag, kind, count, value in sorted(fields):
         if len(value) <= 4:
             spot = value.ljust(4, b"\0")
         else:
@@ -116,4 +101,39 @@ def filtered(data: bytes, keep) -> bytes:
             spot = struct.pack(o + "I", base + len(tail))
             tail += value
         head.append(struct.pack(o + "2HI", tag, kind, count) + spot)
-    return main + struct.pack(o + "H", len(exif)) + b"".join(head) + struct.pack(o + "I", 0) + tail
+    return struct.pack(o + "H", len(fields)) + b"".join(head) + struct.pack(o + "I", 0) + tail + b"\0" * (len(tail) % 2)
+
+
+def _says_something(main: list, exif: list, o: str) -> bool:
+    """Whether EXIF entries say more than their version, sRGB, which is the default, and a pixel size beside 72 dots per inch."""
+
+    def number(e) -> int | None:
+        return struct.unpack_from(o + {3: "H", 4: "I"}[e[1]], e[3].ljust(4, b"\0"))[0] if e[1] in (3, 4) else None
+
+    def usual(e) -> bool:
+        if e[0] in (0x011A, 0x011B):
+            return e[1] == 5 and len(e[3]) == 8 and (r := struct.unpack(o + "2I", e[3]))[0] == 72 * r[1]
+        return number(e) == 2 if e[0] == 0x0128 else True
+
+    scaled = not all(map(usual, main))
+    told = {0x9000: lambda e: False, 0xA001: lambda e: number(e) != 1, 0xA002: lambda e: scaled, 0xA003: lambda e: scaled}
+    return any(told.get(e[0], lambda _: True)(e) for e in exif)
+
+
+def filtered(data: bytes, keep) -> bytes:
+    """The block with the entries that keep(ifd, tag) allows, of the first, the EXIF and the Interop directory; GPS and IFD1 never; empty if nothing is left that says anything."""
+    t = Tiff(data)
+    o = ">" if t.big else "<"
+    own = {k: [(e.tag, e.kind, e.count, e.value) for e in entries(data) if e.ifd == k and e.tag not in POINTERS and keep(k, e.tag)] for k in ("ifd0", "exif", "interop")}
+    main, exif, interop = own["ifd0"], own["exif"], own["interop"]
+    if not interop and not _says_something(main, exif, o):
+        exif = []
+    if not exif and not interop:
+        upright = len(main) == 1 and main[0][0] == 0x0112 and main[0][1] == 3 and struct.unpack_from(o + "H", main[0][3])[0] == 1
+        return b"" if not main or upright else write(main, t.big)
+    pointer = lambda tag, at: (tag, 4, 1, struct.pack(o + "I", at))
+    exif_at = 8 + len(_directory([*main, pointer(0x8769, 0)], 8, o))
+    inner = lambda at: [*exif, pointer(0xA005, at)] if interop else exif
+    interop_at = exif_at + len(_directory(inner(0), exif_at, o))
+    out = (b"MM" if t.big else b"II") + struct.pack(o + "HI", 42, 8) + _directory([*main, pointer(0x8769, exif_at)], 8, o) + _directory(inner(interop_at), exif_at, o)
+    return out + (_directory(interop, interop_at, o) if interop else b"")

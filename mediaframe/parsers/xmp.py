@@ -195,13 +195,13 @@ def directories(data: bytes) -> list[list[ContainerItem]]:
 
 
 def arrangement(items: list[ContainerItem], size: int, photo_end: int, from_end: bool = True) -> list[tuple[int, int]]:
-    """Places (start, end) of the items after the photo: counted from the file's end, or one after the other from the photo's."""
+    """Places (start, end) of the items after the photo: counted from the file's end, or one after the other from the photo's. Padding lies behind an item."""
     out, tail = [], items[1:]
     if from_end:
         at = size
         for i in reversed(tail):
-            out.append((at - i.length, at))
             at -= i.length + i.padding
+            out.append((at, at + i.length))
         out.reverse()
     else:
         at = photo_end + (items[0].padding if items else 0)

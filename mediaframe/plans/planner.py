@@ -49,9 +49,10 @@ class Candidate:
     required: bool = False
 
 
-# What each effort asks of the compressors.
-PNG_RUNS = {"fast": ["oxipng-2"], "standard": ["oxipng-4"], "high": ["oxipng-6", "oxipng-6-alpha"], "max": ["oxipng-max", "oxipng-max-zopfli"]}
-WEBP_LEVELS = {"fast": 6, "standard": 9, "high": 9, "max": 9}
+# What each effort asks of the compressors, as their options; the run with Zopfli is for still images only.
+PNG_OPTIONS = {"fast": "-o 2", "standard": "-o 2 -f 0-9 --zc 13", "high": "-o 2 -f 0-9 --zc 14", "max": "-o 2 -f 0-9 --zc 14"}
+PNG_ZOPFLI = "-o max -f 0-10 --fast --zopfli --zi 60 --ziwi 10"
+WEBP_LEVELS = {"fast": (7,), "standard": (9, 7), "high": (9, 7), "max": (9, 7)}
 JXL_EFFORTS = {"fast": [7], "standard": [7], "high": [9, 7], "max": [9, 7]}
 PALETTE_GAIN, HEIC_GAIN = 0.05, 0.01
 
@@ -62,7 +63,8 @@ def stages(fmt: str, facts: dict, s: Settings) -> list[list[Candidate]]:
     lossy = s.lossy and not s.chooser
     plan: list[list[Candidate]] = []
     if fmt == "png":
-        runs = [Candidate(n) for n in PNG_RUNS[s.effort]]
+        slow = s.effort == "max" and not facts.get("is_animated")
+        runs = [Candidate(f"oxipng {o}") for o in ([PNG_ZOPFLI] if slow else []) + [PNG_OPTIONS[s.effort]]]
         plan = [[metadata], runs]
         if lossy and not facts.get("is_animated"):
             plan += [[Candidate("quantizr", lossy=True, minimum_gain=PALETTE_GAIN, judged_finished=True)], runs]
@@ -76,16 +78,18 @@ def stages(fmt: str, facts: dict, s: Settings) -> list[list[Candidate]]:
         if facts.get("has_webp_metadata"):
             plan.append([metadata])
         if facts.get("is_lossless_webp") and not facts.get("is_animated"):
-            plan.append([Candidate("cwebp")])
+            plan.append([Candidate(f"cwebp -z {level}") for level in WEBP_LEVELS[s.effort]])
     elif fmt == "svg":
         if facts.get("is_utf16"):
             plan.append([Candidate("utf-8", required=True)])
         if not facts.get("is_uncheckable"):
             plan.append([Candidate("oxvg"), Candidate("oxvg ids kept")])
     elif fmt == "heic":
+        # an encoding that follows writes only what the level keeps, so it is the filter's second chance
+        again = lossy and facts.get("bits", 8) <= 8
         if s.level != "keep" and not facts.get("is_animated"):
-            plan.append([metadata])
-        if lossy and facts.get("bits", 8) <= 8 and not facts.get("is_animated"):
+            plan.append([Candidate("metadata", required=not again)])
+        if again:
             plan.append([Candidate("heic", lossy=True, minimum_gain=HEIC_GAIN)])
     elif fmt == "jxl" and facts.get("from_jpeg"):
         plan = [[Candidate("jxl-recompress", required=s.level != "keep")]]
@@ -99,7 +103,7 @@ def rules(spark: SparkSession, s: Settings) -> DataFrame:
         "jpeg": {"above": {"jpeg_quality": None}, "below": {"jpeg_quality": 1}, "unreadable": {"readable": False}},
         "webp": {f"{'lossless' if a else 'lossy'}{' metadata' if b else ''}{' animated' if c else ''}": {"is_lossless_webp": a, "has_webp_metadata": b, "is_animated": c} for a in (0, 1) for b in (0, 1) for c in (0, 1)},
         "svg": {f"{'utf16' if a else 'utf8'}{' uncheckable' if b else ''}": {"is_utf16": a, "is_uncheckable": b} for a in (0, 1) for b in (0, 1)},
-        "heic": {"still": {"bits": 8}, "deep": {"bits": 10}, "animated": {"is_animated": True}},
+        "heic": {f"{'animated' if a else 'still'}{' deep' if b > 8 else ''}": {"is_animated": a, "bits": b} for a in (False, True) for b in (8, 10)},
         "jxl": {"from jpeg": {"from_jpeg": True}, "own": {}},
         "gif": {"any": {}},
     }
@@ -123,7 +127,7 @@ def variant(fmt: Column, facts: dict[str, Column], s: Settings) -> Column:
         .when(fmt == "jpeg", F.when(~get("readable", True), "unreadable").when(get("jpeg_quality", 100) > s.quality, "above").otherwise("below"))
         .when(fmt == "webp", webp)
         .when(fmt == "svg", svg)
-        .when(fmt == "heic", F.when(get("is_animated"), "animated").when(get("bits", 8) > 8, "deep").otherwise("still"))
+        .when(fmt == "heic", F.concat(F.when(get("is_animated"), "animated").otherwise("still"), F.when(get("bits", 8) > 8, " deep").otherwise("")))
         .when(fmt == "jxl", F.when(get("from_jpeg"), "from jpeg").otherwise("own"))
         .otherwise("any")
     )
@@ -137,16 +141,15 @@ def candidates(facts: DataFrame, s: Settings, key: str = "file_id") -> DataFrame
     return keyed.join(F.broadcast(rules(facts.sparkSession, s)), ["format", "variant"]).drop("variant")
 
 
-def reason_for_no_stages(fmt: Column, is_animated: Column, bits: Column, from_jpeg: Column) -> Column:
-    """Kind of the `notSupported` reason."""
+def reason_for_no_stages(fmt: Column, is_animated: Column, lossy: bool) -> Column:
+    """Kind of the `notSupported` reason of a file whose rules give no stage."""
     return (
-        F.when(fmt == "gif", "gif")
-        .when((fmt == "webp") & is_animated, "animatedWebP")
+        F.when((fmt == "webp") & is_animated, "animatedWebP")
         .when(fmt == "webp", "lossyWebP")
-        .when((fmt == "heic") & is_animated, "imageSequence")
-        .when((fmt == "heic") & (bits > 8), "deepHEIC")
-        .when(fmt == "heic", "losslessHEIC")
-        .when((fmt == "jxl") & ~from_jpeg, "jxlNotFromJPEG")
+        .when(fmt == "gif", "gif")
+        .when(fmt == "heic", "hdrHEIC" if lossy else "heicWithoutLoss")
+        .when(fmt == "jxl", "jxlNotFromJPEG")
+        .otherwise("nothingToOptimize")
     )
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import bytesx as bx
 from .functions import scalars as sc
-from .operators import admission, compare, fields, naming, report, rewrite, selection, tables
+from .operators import admission, compare, entropy, fields, naming, report, rewrite, selection, tables
 from .parsers import jpeg
 from .plans import planner, policy
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,10 +75,14 @@ def format_counts(spark, d):
     return f.groupBy("format").agg(F.count("*").alias("files"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'empty' WHEN 1 THEN 'notAnImage' WHEN 2 THEN 'turnedOff' WHEN 3 THEN 'damaged' WHEN 4 THEN 'contentCredentials'
-  WHEN 5 THEN 'appleCgBI' WHEN 6 THEN 'damaged' END AS reason FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 18 WHEN 0 THEN 'empty' WHEN 1 THEN 'notAnImage' WHEN 2 THEN 'turnedOff' WHEN 3 THEN 'damaged' WHEN 4 THEN 'contentCredentials' WHEN 5 THEN 'appleCgBI' WHEN 6 THEN 'damaged'
+  WHEN 10 THEN 'contentCredentials' WHEN 12 THEN 'motionPhotoVideo' WHEN 13 THEN 'uncheckable' WHEN 15 THEN 'notSupported' WHEN 16 THEN 'damaged' END AS reason FROM documents""")
 def admission_ladder(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 9).alias("k"), F.md5(_text()).cast("binary").alias("t"))
+    """One file of each rung. Words of content credentials count where metadata is (4, 10), not in image data (9) nor in a comment (11); a video after a photo keeps it (12), and so do scripts an SVG (13); 16 has no segments."""
+    docs = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 18).alias("k"), F.md5(_text()).cast("binary").alias("t"))
+    soi, words = bx.raw(b"\xff\xd8"), bx.raw("jumb c2pa ")
+    scan = F.concat(bx.jpeg_segment(0xDA, bx.raw(b"\x01\x01\x00\x00\x3f\x00")), bx.raw(b"\xff\xd9"))
+    svg = lambda body: F.concat(bx.raw("<svg xmlns='http://www.w3.org/2000/svg'><desc>"), F.col("t"), bx.raw(f"</desc>{body}</svg>"))
     text = bx.png_chunk("tEXt", F.concat(bx.raw(b"Comment\0"), F.col("t")))
     whole = bx.png(bx.png_header(1, 1), text)
     content = (
@@ -88,10 +93,19 @@ def admission_ladder(spark, d):
         .when(F.col("k") == 4, bx.png(bx.png_header(1, 1), bx.png_chunk("caBX", F.concat(bx.raw("jumb c2pa "), F.col("t")))))
         .when(F.col("k") == 5, bx.png(bx.png_chunk("CgBI", bx.raw(b"\0\0\0\0")), bx.png_header(1, 1), text))
         .when(F.col("k") == 6, F.concat(bx.raw(b"\xff\xd8\xff\xe0"), F.col("t")))
-        .when(F.col("k") == 7, F.concat(bx.raw(b"\xff\xd8\xff\xe0"), F.col("t"), bx.raw(b"\xff\xd9")))
+        .when(F.col("k") == 7, F.concat(soi, bx.jpeg_segment(0xFE, F.col("t")), scan))
+        .when(F.col("k") == 9, bx.png(bx.png_header(1, 1), bx.png_chunk("IDAT", F.concat(words, F.col("t")))))
+        .when(F.col("k") == 10, F.concat(soi, bx.jpeg_segment(0xEB, F.concat(words, F.col("t"))), scan))
+        .when(F.col("k") == 11, F.concat(soi, bx.jpeg_segment(0xFE, F.concat(words, F.col("t"))), scan))
+        .when(F.col("k") == 12, F.concat(soi, bx.jpeg_segment(0xFE, F.col("t")), scan, F.col("t"), bx.raw("MotionPhoto_Data")))
+        .when(F.col("k") == 13, svg("<script>1</script>"))
+        .when(F.col("k") == 14, svg("<path d='M0 0'/>"))
+        .when(F.col("k") == 15, F.concat(bx.raw("GIF89a      "), F.col("t"), bx.raw(";")))
+        .when(F.col("k") == 16, F.concat(bx.raw(b"\xff\xd8\xff\xe0"), F.col("t"), bx.raw(b"\xff\xd9")))
+        .when(F.col("k") == 17, F.concat(soi, bx.jpeg_segment(0xFE, F.col("t")), scan, F.col("t"), bx.raw("SEFT of old")))
         .otherwise(whole)
     )
-    files = docs.select("doc_id", F.lit("png").alias("ext"), content.alias("content"))
+    files = docs.select("doc_id", F.when(F.col("k").isin(13, 14), "svg").otherwise("png").alias("ext"), content.alias("content"))
     return admission.reason(files, disabled=["webp"]).select("doc_id", "reason")
 
 
@@ -207,7 +221,7 @@ def output_names(spark, d):
 
 
 @query(r"""SELECT page_id, regexp_replace(p, '(\.[^./]*)?$', '') || '-small' || regexp_extract(regexp_extract(p, '([^/]*)$', 1), '(\.[^.]*)$', 1) AS suffixed,
-  '/out/' || regexp_replace(p, '^/[^/]*/', '') AS mirrored FROM (SELECT page_id, '/' || regexp_extract(url, '://([^?#]*)', 1) || '/image.' || CASE WHEN page_id % 2 = 0 THEN 'png' ELSE 'jpg' END AS p FROM pages)""")
+  '/out' || p AS mirrored FROM (SELECT page_id, '/' || regexp_extract(url, '://([^?#]*)', 1) || '/image.' || CASE WHEN page_id % 2 = 0 THEN 'png' ELSE 'jpg' END AS p FROM pages)""")
 def plan_paths(spark, d):
     p = _t(spark, d, "pages").select("page_id", F.concat(F.lit("/"), F.regexp_extract("url", "://([^?#]*)", 1), F.lit("/image."), F.when(F.col("page_id") % 2 == 0, "png").otherwise("jpg")).alias("p"))
     root = F.regexp_extract("p", "^(/[^/]*)/", 1)
@@ -288,9 +302,10 @@ def timeline_compare(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'lost' WHEN a.doc_id IS NULL THEN 'invented' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'kept' ELSE 'changed' END AS status
-FROM (SELECT doc_id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS v FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, CAST(quality AS INTEGER) AS v FROM labels) b USING (doc_id)""")
+FROM (SELECT doc_id + 3 AS doc_id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS v FROM documents) a FULL JOIN (SELECT doc_id, CAST(quality AS INTEGER) AS v FROM labels) b USING (doc_id)""")
 def metadata_diff(spark, d):
-    a = _t(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("v"))
+    """Whole tables; ids are moved by three on one side, so that each side has some that the other has not."""
+    a = _t(spark, d, "documents").withColumn("doc_id", F.col("doc_id") + 3).select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("v"))
     b = _t(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("v"))
     return compare.diff(a, b, ["doc_id"], "v").select("doc_id", "status")
 
@@ -326,18 +341,81 @@ def overlapping_ranges(spark, d):
     return compare.overlaps(p, ["p_brand"], "lo", "hi").select("p_partkey")
 
 
-@query("""SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(CAST(embedding[i] AS DOUBLE) - CAST(embedding[len(embedding) + 1 - i] AS DOUBLE)))) / len(embedding)
-  / (CAST(list_max(embedding) AS DOUBLE) - CAST(list_min(embedding) AS DOUBLE)), 4) AS mean_diff FROM embeddings""")
+@query("""WITH s AS (SELECT vec_id, i, CASE WHEN (i + vec_id) % 7 = 0 THEN NULL WHEN vec_id % 10 = 3 THEN 2.0 ELSE CAST(embedding[i] AS DOUBLE) END AS a,
+  CASE WHEN (i + vec_id) % 5 = 0 THEN NULL ELSE CAST(embedding[len(embedding) + 1 - i] AS DOUBLE) END AS b FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+SELECT vec_id, round((sum(abs(a - b)) / CASE WHEN max(a) FILTER (b IS NOT NULL) > min(a) FILTER (b IS NOT NULL) THEN max(a) FILTER (b IS NOT NULL) - min(a) FILTER (b IS NOT NULL) ELSE 255 END
+  + count(*) FILTER ((a IS NULL) <> (b IS NULL))) / count(*), 4) AS mean_diff FROM s GROUP BY vec_id""")
 def mean_difference(spark, d):
+    """Samples against themselves in reverse; some have no value on one side or on both, and some images are flat. In the SQL NULL stands for NaN."""
     v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    return v.select("vec_id", F.round(compare.mean_difference(F.col("a"), F.reverse("a")), 4).alias("mean_diff"))
+    nan = F.lit(float("nan"))
+    a = F.transform("a", lambda x, i: F.when((i + 1 + F.col("vec_id")) % 7 == 0, nan).when(F.col("vec_id") % 10 == 3, 2.0).otherwise(x))
+    b = F.transform(F.reverse("a"), lambda x, i: F.when((i + 1 + F.col("vec_id")) % 5 == 0, nan).otherwise(x))
+    return v.select("vec_id", F.round(compare.mean_difference(a, b, 255.0), 4).alias("mean_diff"))
 
 
-@query("""SELECT vec_id, round(max(m), 4) AS worst FROM (SELECT vec_id, b, avg(x) AS m FROM (SELECT vec_id, i // 8 AS b, abs(CAST(embedding[i + 1] AS DOUBLE) - CAST(embedding[len(embedding) - i] AS DOUBLE)) AS x
-  FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings)) GROUP BY vec_id, b) GROUP BY vec_id""")
+@query("""WITH s AS (SELECT vec_id, (i - 1) % 10 AS x, (i - 1) // 10 AS y, abs(CAST(embedding[i] AS DOUBLE) - CAST(embedding[len(embedding) + 1 - i] AS DOUBLE)) AS e
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), b AS (SELECT vec_id, avg(e) AS m FROM s GROUP BY vec_id, x // 8, y // 8)
+SELECT vec_id, round(t.mean, 4) AS mean, round(w.block, 4) AS block, round(t.largest, 4) AS largest FROM (SELECT vec_id, avg(e) AS mean, max(e) AS largest FROM s GROUP BY vec_id) t JOIN (SELECT vec_id, max(m) AS block FROM b GROUP BY vec_id) w USING (vec_id)""")
 def block_worst_mean(spark, d):
+    """Images of ten columns, so that blocks of 8 x 8 are cut at the right and at the bottom."""
     v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    return v.select("vec_id", F.round(compare.worst_block(F.col("a"), F.reverse("a")), 4).alias("worst"))
+    s = v.select("vec_id", F.posexplode(F.arrays_zip(F.col("a"), F.reverse("a").alias("b"))).alias("i", "p")).select("vec_id", (F.col("i") % 10).alias("x"), F.floor(F.col("i") / 10).alias("y"), "p.a", "p.b")
+    got = compare.block_difference(s, ["vec_id"], "x", "y", "a", "b")
+    return got.select("vec_id", *[F.round(c, 4).alias(c) for c in ("mean", "block", "largest")])
+
+
+@query("""WITH i AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS length, l_linenumber % 3 AS padding, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem),
+t AS (SELECT *, 20 + 15 * (l_orderkey % 17) AS total, l_orderkey % 2 = 0 AS ahead FROM i),
+p AS (SELECT *, CASE WHEN ahead THEN coalesce(sum(CASE WHEN n = 1 THEN padding ELSE length + padding END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  ELSE total - sum(length + padding) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS s FROM t)
+SELECT l_orderkey, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS first, CAST(s + length AS BIGINT) AS last FROM p WHERE n > 1
+  AND l_orderkey NOT IN (SELECT l_orderkey FROM p WHERE length > total OR padding > total OR n > 1 AND (s < 0 OR s + length > total))""")
+def container_items(spark, d):
+    """Lines as the items of a container behind a photo: counted from the end, or one after the other; those of a container that does not fit have no place."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", *_LINE)
+    own = li.select("l_orderkey", F.col("l_quantity").cast("bigint").alias("length"), (F.col("l_linenumber") % 3).alias("padding"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE)).cast("bigint").alias("n"))
+    got = compare.placed_items(own, ["l_orderkey"], "n", "length", "padding", 20 + 15 * (F.col("l_orderkey") % 17), F.col("l_orderkey") % 2 == 0)
+    return got.select("l_orderkey", "n", F.col("start").cast("bigint").alias("first"), F.col("end").cast("bigint").alias("last"))
+
+
+_QUANT = "list_transform(embedding, lambda v: CAST(round(CAST(v AS DOUBLE) * 6) AS INTEGER))"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as blocks of 64 coefficients, by label as the component."""
+    return _t(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: F.round(v.cast("double") * 6).cast("int")).alias("c"))
+
+
+@query(f"""SELECT vec_id, CAST(dc - p AS INTEGER) AS difference, CAST(CASE WHEN dc = p THEN 0 ELSE length(bin(abs(dc - p))) END AS INTEGER) AS symbol FROM (
+  SELECT vec_id, dc, coalesce(lag(dc) OVER (PARTITION BY label ORDER BY vec_id), 0) AS p FROM (SELECT vec_id, label, {_QUANT}[1] AS dc FROM embeddings))""")
+def dc_differences(spark, d):
+    b = _blocks(spark, d).select("vec_id", "label", F.col("c")[0].alias("dc"))
+    return entropy.dc_differences(b, ["label"], ["vec_id"], "dc").select("vec_id", "difference", "symbol")
+
+
+@query(f"""WITH c AS (SELECT vec_id, label, k, v FROM (SELECT vec_id, label, unnest(range(5, 21)) AS k, unnest({_QUANT}[6:21]) AS v FROM embeddings) WHERE v <> 0),
+z AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY vec_id ORDER BY k), 4) - 1 AS zeros FROM c),
+e AS (SELECT m.vec_id, m.label, max(c.k) AS last FROM embeddings m LEFT JOIN c ON m.vec_id = c.vec_id GROUP BY 1, 2),
+i AS (SELECT label, sum(CASE WHEN last IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS island, CASE WHEN last = 20 THEN 0 ELSE 1 END AS open FROM e),
+r AS (SELECT label, CAST(sum(open) AS BIGINT) AS run FROM i GROUP BY label, island HAVING sum(open) > 0),
+s AS (SELECT label, (zeros % 16) * 16 + length(bin(abs(v))) AS symbol FROM z UNION ALL SELECT label, 240 FROM z WHERE zeros >= 16 UNION ALL SELECT label, (length(bin(run)) - 1) * 16 FROM r)
+SELECT label, CAST(symbol AS INTEGER) AS symbol, count(*) AS n FROM s GROUP BY ALL""")
+def ac_symbols(spark, d):
+    """Symbols of the band 5 to 20 in a first pass, with runs of empty ends over blocks."""
+    return entropy.ac_symbols(_blocks(spark, d), ["label"], ["vec_id"], "c", 5, 20)
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS k, CAST(l_quantity AS BIGINT) * 1200 AS b FROM lineitem),
+w AS (SELECT l_orderkey, n, k, b AS held, 1 AS g FROM s WHERE n = 1 UNION ALL
+  SELECT s.l_orderkey, s.n, s.k, CASE WHEN coalesce(s.k = w.k, false) AND w.held + s.b + 2 <= 65535 THEN w.held + s.b ELSE s.b END, CASE WHEN coalesce(s.k = w.k, false) AND w.held + s.b + 2 <= 65535 THEN g ELSE g + 1 END
+  FROM w JOIN s ON s.l_orderkey = w.l_orderkey AND s.n = w.n + 1)
+SELECT l_orderkey, CAST(n AS BIGINT) AS n, CAST(g AS INTEGER) AS grp FROM w""")
+def merged_segments(spark, d):
+    """Lines as table segments: neighbours of a flag go into one segment while it holds them; those that were returned stay alone."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", *_LINE, "l_returnflag")
+    own = li.select("l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE)).cast("bigint").alias("n"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("k"), (F.col("l_quantity").cast("bigint") * 1200).alias("b"))
+    return entropy.merged_segments(own, ["l_orderkey"], "n", "k", "b").withColumnRenamed("group", "grp")
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -376,10 +454,10 @@ def reasons(spark, d):
 
 
 @query("""SELECT o_custkey, bytes, bytes - coalesce(b, bytes) AS delta, bytes > coalesce(b, bytes) AS regressed FROM (SELECT o_custkey, CAST(floor(max(o_totalprice)) AS BIGINT) AS bytes FROM orders GROUP BY 1)
-  LEFT JOIN (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) * 50 AS b FROM customer WHERE c_custkey % 4 <> 0) ON o_custkey = c_custkey""")
+  LEFT JOIN (SELECT c_custkey + 5 AS c_custkey, CAST(floor(c_acctbal) AS BIGINT) * 50 AS b FROM customer) ON o_custkey = c_custkey""")
 def baseline_regressions(spark, d):
     now = _t(spark, d, "orders").groupBy("o_custkey").agg(F.floor(F.max("o_totalprice")).cast("bigint").alias("bytes"))
-    base = _t(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), (F.floor("c_acctbal").cast("bigint") * 50).alias("bytes"))
+    base = _t(spark, d, "customer").select((F.col("c_custkey") + 5).alias("o_custkey"), (F.floor("c_acctbal").cast("bigint") * 50).alias("bytes"))
     return report.regressions(now, base, "o_custkey").select("o_custkey", "bytes", "delta", "regressed")
 
 
@@ -447,12 +525,12 @@ def report_json(spark, d):
     return r.select(F.get_json_object("json", "$.file").alias("file"), F.get_json_object("json", "$.status").alias("status"), F.contains(F.col("json"), F.lit('"reason"')).alias("has_reason"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber <= 4 AND l_returnflag <> 'R'), o AS (SELECT o_orderkey, CAST(40 AS BIGINT) AS original FROM orders)
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_returnflag <> 'R'), o AS (SELECT o_orderkey, CAST(40 AS BIGINT) AS original FROM orders)
 SELECT o_orderkey, CASE WHEN min(size) < 40 THEN min(size) ELSE 40 END AS size, coalesce(min(size) < 40, false) AS smaller FROM o LEFT JOIN c ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def fold_stages(spark, d):
-    """One candidate a stage, verified unless returned: the end is the smallest under the original."""
-    li = _t(spark, d, "lineitem").where("l_linenumber <= 4").select(
-        F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("int").alias("stage"), F.lit(0).alias("cand"), F.concat(F.lit("c"), F.col("l_linenumber")).alias("name"), F.col("l_quantity").cast("bigint").alias("size"),
+    """All lines as candidates in four stages, verified unless returned: the end is the smallest under the original."""
+    li = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), ((F.col("l_linenumber") - 1) % 4).cast("int").alias("stage"), F.col("l_linenumber").cast("int").alias("cand"), F.concat(F.lit("c"), F.col("l_linenumber")).alias("name"), F.col("l_quantity").cast("bigint").alias("size"),
         (F.col("l_returnflag") != "R").alias("verified"), F.lit(False).alias("lossy"), F.lit(0.0).alias("minimum_gain"), F.lit(False).alias("required"), F.lit(False).alias("judged_finished"), F.lit(False).alias("promised"), F.lit(False).alias("has_private"),
     )
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit(40).alias("size"))
@@ -460,17 +538,26 @@ def fold_stages(spark, d):
     return got.select(F.col("file_id").alias("o_orderkey"), "size", (F.size("steps") > 0).alias("smaller"))
 
 
-@query("""SELECT k % 7 AS variant, count(*) AS files, CAST(sum(CASE k % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 1 END) AS BIGINT) AS candidates
-  FROM (SELECT doc_id AS k FROM documents) WHERE k % 7 <> 2 GROUP BY 1""")
+@query("""WITH e(effort, png, webp) AS (VALUES ('fast', 1, 1), ('standard', 1, 2), ('high', 1, 2), ('max', 2, 2)), f AS (SELECT doc_id % 9 AS k FROM documents)
+SELECT effort, lossy, k AS variant, count(*) AS files, CAST(sum(CASE k WHEN 0 THEN 1 + png + CASE WHEN lossy THEN 1 + png ELSE 0 END WHEN 1 THEN CASE WHEN lossy THEN 3 ELSE 2 END WHEN 3 THEN webp WHEN 4 THEN 2
+  WHEN 5 THEN CASE WHEN lossy THEN 2 ELSE 1 END WHEN 6 THEN 1 WHEN 7 THEN 2 WHEN 8 THEN 1 END) AS BIGINT) AS candidates,
+  count(*) * CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 5 THEN CASE WHEN lossy THEN 0 ELSE 1 END WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 1 ELSE 0 END AS required
+FROM f, e, (VALUES (true), (false)) AS l(lossy) WHERE k <> 2 GROUP BY effort, lossy, k""")
 def stage_plans(spark, d):
-    """Candidates of files by format and facts, from the rule table."""
-    k = F.col("doc_id") % 7
+    """Candidates of files by effort, loss, format and facts, from the rule tables: still PNG, JPEG above the target, GIF, lossless WebP, SVG, HEIC, JPEG XL from a JPEG, animated PNG at its one run, HEIC of 10 bits."""
+    k = F.col("doc_id") % 9
+    own = ("png", "jpeg", "gif", "webp", "svg", "heic", "jxl", "png", "heic")
     facts = _t(spark, d, "documents").select(
-        F.col("doc_id").alias("file_id"), k.alias("k"), F.element_at(F.array(*map(F.lit, ("png", "jpeg", "gif", "webp", "svg", "heic", "jxl"))), (k + 1).cast("int")).alias("format"), F.lit(False).alias("is_animated"),
-        F.lit(80).alias("jpeg_quality"), (k == 3).alias("is_lossless_webp"), F.lit(False).alias("has_webp_metadata"), F.lit(False).alias("is_utf16"), F.lit(False).alias("is_uncheckable"), F.lit(8).alias("bits"), (k == 6).alias("from_jpeg"),
+        F.col("doc_id").alias("file_id"), k.alias("k"), F.element_at(F.array(*map(F.lit, own)), (k + 1).cast("int")).alias("format"), (k == 7).alias("is_animated"),
+        F.lit(90).alias("jpeg_quality"), (k == 3).alias("is_lossless_webp"), F.lit(False).alias("has_webp_metadata"), F.lit(False).alias("is_utf16"), F.lit(False).alias("is_uncheckable"), F.when(k == 8, 10).otherwise(8).alias("bits"), (k == 6).alias("from_jpeg"),
     )
-    c = planner.candidates(facts, planner.Settings(effort="high"))
-    return c.groupBy(F.col("k").alias("variant")).agg(F.countDistinct("file_id").alias("files"), F.count("*").alias("candidates"))
+    out = None
+    for effort in planner.EFFORTS:
+        for lossy in (True, False):
+            c = planner.candidates(facts, planner.Settings(effort=effort, lossy=lossy))
+            one = c.groupBy(F.lit(effort).alias("effort"), F.lit(lossy).alias("lossy"), F.col("k").alias("variant")).agg(F.countDistinct("file_id").alias("files"), F.count("*").alias("candidates"), F.count_if("required").alias("required"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'flag of EXIF is wrong' WHEN doc_id % 4 = 1 THEN 'XMP out of order' WHEN doc_id % 4 = 2 THEN 'stray bytes' END AS rule FROM documents WHERE doc_id % 4 < 3")
@@ -493,3 +580,124 @@ def private_data(spark, d):
     keyword = F.element_at(F.array(*[bx.raw(k) for k in (b"Source", b"Author", b"Xxxxxx")]), (F.col("doc_id") % 3 + 1).cast("int"))
     files = _t(spark, d, "documents").select("doc_id", bx.png(bx.png_header(1, 1), bx.png_chunk("tEXt", F.concat(keyword, bx.raw(b"\0"), _text()))).alias("content"))
     return fields.holds_private(fields.fields(files, ["doc_id"], "png"), ["doc_id"], "copyright")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey BETWEEN 1 AND 8 THEN c_nationkey ELSE 1 END AS orientation FROM customer""")
+def orientation(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", admission.orientation(F.col("c_nationkey")).alias("orientation"))
+
+
+_OWN_PATH = "'/in/' || CASE WHEN page_id % 5 = 4 THEN 'done/' ELSE '' END || 'page' || page_id || CASE page_id % 5 WHEN 0 THEN '-small' WHEN 1 THEN ' (original)' WHEN 2 THEN ' (original 3)' ELSE '' END || '.png'"
+
+
+@query(f"""SELECT page_id, page_id % 5 <> 3 AS own, regexp_replace(p, 'png$', 'jxl') AS converted, regexp_extract(p, '^(.*)/', 1) AS folder FROM (SELECT page_id, {_OWN_PATH} AS p FROM pages)""")
+def own_outputs(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.expr(_OWN_PATH).alias("p"))
+    return p.select("page_id", naming.is_own_output(F.col("p"), folder="/in/done").alias("own"), naming.converted(F.col("p"), "jxl").alias("converted"), naming.folder_needed(F.col("p")).alias("folder"))
+
+
+@query("""SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY lower(split_part(url, '?', 1)) ORDER BY page_id) AS n FROM pages WHERE url IS NOT NULL) WHERE n = 1""")
+def inputs_once(spark, d):
+    p = _t(spark, d, "pages").where("url IS NOT NULL").select("page_id", F.split_part("url", F.lit("?"), F.lit(1)).alias("path"))
+    return naming.once(p, "path", "page_id").select("page_id")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) WHERE n % 7 = 0")
+def every_nth(spark, d):
+    return files.every_nth(_t(spark, d, "part").select("p_partkey"), 7, "p_partkey")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey % 1000, o_orderkey) AS BIGINT) AS place FROM orders")
+def natural_order(spark, d):
+    """Names with numbers, in the order of the numbers."""
+    o = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("F"), F.col("o_orderkey") % 1000, F.lit(" b"), F.col("o_orderkey"), F.lit(".png")).alias("name"))
+    return o.select("o_orderkey", F.row_number().over(Window.orderBy(sc.natural_key(F.col("name")))).cast("bigint").alias("place"))
+
+
+@query("""SELECT p_partkey, CAST(depth * chans AS INTEGER) AS bits, CAST(CASE WHEN p_partkey % 2 = 0 THEN h * (1 + ceil(w * depth * chans / 8.0)) ELSE (SELECT sum(CASE WHEN ceil((w - x0) / CAST(dx AS DOUBLE)) > 0 AND ceil((h - y0) / CAST(dy AS DOUBLE)) > 0
+    THEN ceil((h - y0) / CAST(dy AS DOUBLE)) * (1 + ceil(ceil((w - x0) / CAST(dx AS DOUBLE)) * depth * chans / 8.0)) ELSE 0 END)
+  FROM (VALUES (0,0,8,8),(4,0,8,8),(0,4,4,8),(2,0,4,4),(0,2,2,4),(1,0,2,2),(0,1,1,2)) AS a(x0, y0, dx, dy)) END AS BIGINT) AS inflated
+FROM (SELECT p_partkey, p_size AS w, p_partkey % 23 + 1 AS h, CASE WHEN p_partkey % 3 = 0 THEN 16 ELSE 8 END AS depth, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 4 END AS chans FROM part)""")
+def png_geometry(spark, d):
+    """Bits of a pixel and inflated bytes, whole and in the seven passes."""
+    k = F.col("p_partkey")
+    colour = F.element_at(F.array(*map(F.lit, (0, 2, 4, 6))), (k % 4 + 1).cast("int"))
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_size").alias("w"), (k % 23 + 1).alias("h"), sc.png_bits(colour, F.when(k % 3 == 0, 16).otherwise(8)).alias("bits"))
+    return p.select("p_partkey", "bits", sc.png_inflated_size(F.col("w"), F.col("h"), F.col("bits"), k % 2 == 1).alias("inflated"))
+
+
+@query("""SELECT p_partkey, CAST(m AS BIGINT) AS mcus, CAST(CASE WHEN i > 0 THEN ceil(m / i) - 1 ELSE 0 END AS BIGINT) AS restarts FROM (SELECT p_partkey, p_partkey % 6 AS i,
+  ceil(p_size * 40 / (8.0 * (1 + p_partkey % 2))) * ceil((p_partkey % 900 + 1) / (8.0 * (1 + p_partkey % 3 // 2))) AS m FROM part)""")
+def mcu_restarts(spark, d):
+    k = F.col("p_partkey")
+    mcus = sc.mcu_count(F.col("p_size") * 40, k % 900 + 1, 1 + k % 2, 1 + F.floor(k % 3 / 2))
+    return _t(spark, d, "part").select("p_partkey", mcus.alias("mcus"), sc.restart_count(mcus, k % 6).alias("restarts"))
+
+
+@query("""SELECT p_partkey, CASE o WHEN 1 THEN x WHEN 2 THEN w - 1 - x WHEN 3 THEN w - 1 - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN h - 1 - y WHEN 7 THEN h - 1 - y ELSE y END AS sx,
+  CASE o WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN h - 1 - y WHEN 4 THEN h - 1 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN w - 1 - x ELSE w - 1 - x END AS sy
+FROM (SELECT p_partkey, p_partkey % 8 + 1 AS o, p_partkey % 40 AS x, p_partkey % 30 AS y, CAST(40 AS BIGINT) AS w, CAST(30 AS BIGINT) AS h FROM part)""")
+def oriented(spark, d):
+    k = F.col("p_partkey")
+    at = sc.oriented(k % 40, k % 30, F.lit(40).cast("bigint"), F.lit(30).cast("bigint"), k % 8 + 1)
+    return _t(spark, d, "part").select("p_partkey", at["x"].alias("sx"), at["y"].alias("sy"))
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS inflated, sha256(coalesce(text, '')) AS from_base64, lower(regexp_replace('keep' || upper(lang[1]) || lang[2:], '([a-z])([A-Z])', '\\1_\\2', 'g')) AS snake FROM documents""")
+def codec_roundtrip(spark, d):
+    """Texts deflated and inflated, and as Base64 with line ends and marks in it; a name in snake case."""
+    docs = _t(spark, d, "documents").select("doc_id", "lang", _text().alias("t"))
+    dirty = F.concat(F.lit("\n "), F.regexp_replace(F.base64("t"), "(.{50})", "$1\n* "))
+    name = F.concat(F.lit("keep"), F.initcap("lang"))
+    return docs.select("doc_id", F.sha2(sc.inflate(sc.deflate(F.col("t"))), 256).alias("inflated"), F.sha2(sc.base64_lenient(dirty), 256).alias("from_base64"), sc.snake_case(name).alias("snake"))
+
+
+@query("""SELECT p_partkey, lead(lo) OVER (PARTITION BY p_brand ORDER BY lo) - (lo + p_size % 17) AS gap FROM (SELECT p_partkey, p_brand, p_size, p_partkey * 10 AS lo FROM part)""")
+def gaps(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_partkey") * 10).alias("lo"), (F.col("p_partkey") * 10 + F.col("p_size") % 17).alias("hi"))
+    return compare.gaps(p, ["p_brand"], "lo", "hi").select("p_partkey", "gap")
+
+
+@query("""SELECT p_partkey, n > floor(size / 1000.0) OR s > 10 AS strict, n > floor(size / 100.0) OR s > 100 AS loose FROM (SELECT p_partkey, p_size * 900 AS size, p_partkey % 300 AS n, p_partkey % 120 AS s FROM part)""")
+def rendering_differs(spark, d):
+    k = F.col("p_partkey")
+    args = (F.col("p_size") * 900, k % 300, k % 120)
+    return _t(spark, d, "part").select("p_partkey", compare.rendering_differs(*args, True).alias("strict"), compare.rendering_differs(*args, False).alias("loose"))
+
+
+@query("""SELECT o_orderkey, CASE k % 4 WHEN 0 THEN 'lossy' WHEN 1 THEN 'visiblyIdentical' WHEN 2 THEN 'lossless' ELSE 'pixelIdentical' END AS fidelity,
+  CASE k % 5 WHEN 0 THEN 'damaged' WHEN 1 THEN 'metadataNotFilterable' WHEN 2 THEN 'resultRejected' ELSE 'alreadyOptimal' END AS reason,
+  CASE WHEN o_orderstatus = 'F' THEN k % 700 - k % 300 ELSE 0 END AS saved, k % 3 = 2 AS belongs FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def outcome_rules(spark, d):
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select(
+        "o_orderkey", report.fidelity(k % 4 == 0, k % 4 == 1, report.compares_exactly(F.when(k % 4 == 2, "svg").otherwise("png"))).alias("fidelity"),
+        report.final_reason(k % 5 == 0, k % 5 == 1, F.when(k % 5 == 2, 3).otherwise(0)).alias("reason"),
+        report.saved(F.when(F.col("o_orderstatus") == "F", "optimized").otherwise("unchanged"), k % 700, k % 300).alias("saved"),
+        report.belongs_in_folder(F.element_at(F.array(F.lit("empty"), F.lit("changedMeanwhile"), F.lit("damaged")), (k % 3 + 1).cast("int"))).alias("belongs"),
+    )
+
+
+@query("""SELECT doc_id, CASE k WHEN 0 THEN 'animatedWebP' WHEN 1 THEN 'lossyWebP' WHEN 2 THEN 'gif' WHEN 3 THEN 'heicWithoutLoss' WHEN 4 THEN 'jxlNotFromJPEG' ELSE 'nothingToOptimize' END AS lossless,
+  CASE k WHEN 0 THEN 'animatedWebP' WHEN 1 THEN 'lossyWebP' WHEN 2 THEN 'gif' WHEN 3 THEN 'hdrHEIC' WHEN 4 THEN 'jxlNotFromJPEG' ELSE 'nothingToOptimize' END AS lossy,
+  CASE k WHEN 0 THEN 'video' WHEN 1 THEN 'moreImages' WHEN 2 THEN 'otherData' END AS obstacle FROM (SELECT doc_id, doc_id % 6 AS k FROM documents)""")
+def unsupported_kinds(spark, d):
+    k = F.col("doc_id") % 6
+    fmt = F.element_at(F.array(*map(F.lit, ("webp", "webp", "gif", "heic", "jxl", "png"))), (k + 1).cast("int"))
+    both = [planner.reason_for_no_stages(fmt, k == 0, lossy).alias(n) for n, lossy in (("lossless", False), ("lossy", True))]
+    return _t(spark, d, "documents").select("doc_id", *both, planner.jxl_obstacle(k == 0, F.when(k == 1, 2).otherwise(1), F.when(k == 2, 9).otherwise(0)).alias("obstacle"))
+
+
+@query("""SELECT doc_id, kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (
+  SELECT doc_id, 'FE' AS kind, 32 AS size FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'E1', 32 FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'IHDR', 13 FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'tEXt', 40 FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'IEND', 0 FROM documents WHERE doc_id % 3 = 1
+  UNION ALL SELECT doc_id, 'EXIF', 32 FROM documents WHERE doc_id % 3 = 2) GROUP BY doc_id, kind""")
+def metadata_regions(spark, d):
+    """Regions of JPEG, PNG and WebP files: image data and tables are none."""
+    k = F.col("doc_id") % 3
+    t = F.md5(_text()).cast("binary")
+    scan = F.concat(bx.jpeg_segment(0xDA, bx.raw(b"\x01\x01\x00\x00\x3f\x00")), bx.raw(b"\xff\xd9"))
+    jpg = F.concat(bx.raw(b"\xff\xd8"), bx.jpeg_segment(0xFE, t), bx.jpeg_segment(0xDB, t), bx.jpeg_segment(0xE1, t), scan)
+    content = F.when(k == 0, jpg).when(k == 1, bx.png(bx.png_header(1, 1), bx.png_chunk("tEXt", F.concat(bx.raw(b"Comment\0"), t)), bx.png_chunk("IDAT", t))).otherwise(bx.webp(bx.riff_chunk("VP8L", t), bx.riff_chunk("EXIF", t)))
+    got = tables.metadata_regions(_t(spark, d, "documents").select("doc_id", content.alias("content")), ["doc_id"])
+    return got.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("data")).cast("bigint").alias("bytes"))

@@ -46,13 +46,19 @@ def in_order(files: DataFrame) -> DataFrame:
     return files.orderBy(F.regexp_extract("path", "^(.*)/", 1), natural_key(F.regexp_extract("path", "([^/]*)$", 1)), "path")
 
 
+#: Rows whose values bound the buckets of every_nth.
+BOUNDS = 1024
+
+
 def every_nth(files: DataFrame, step: int, by: str = "path") -> DataFrame:
-    """Every step-th of the sorted rows: numbers run over partitions of a range sort, so no task sees all rows."""
-    sorted_ = files.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    sizes = sorted_.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("__p", "first", before.alias("before")))  # a row per partition
-    return sorted_.join(starts, "__p").where((F.col("__m") - F.col("first") + F.col("before")) % step == 0).drop("__p", "__m", "first", "before")
+    """Every step-th of the rows sorted by a column without repeats: buckets between bounds that are drawn once, counted, and numbered each by itself, so no task sees all rows."""
+    drawn = files.select(by).where(F.col(by).isNotNull()).orderBy(F.xxhash64(by), by).limit(BOUNDS).collect()
+    bounds = F.array(*[F.lit(v) for v in sorted(r[0] for r in drawn)[::4]]) if drawn else F.array().cast(f"array<{files.schema[by].dataType.simpleString()}>")
+    dealt = files.withColumn("__b", F.size(F.filter(bounds, lambda x: x <= F.col(by))))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(dealt.groupBy("__b").agg(F.count("*").alias("n")).select("__b", before.alias("__n")))  # a row per bucket
+    numbered = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(by)) - 1).join(starts, "__b")
+    return numbered.where((F.col("__r") + F.col("__n")) % step == 0).drop("__b", "__r", "__n")
 
 
 def changed(files: DataFrame, listing: DataFrame) -> DataFrame:
@@ -85,6 +91,7 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
     """Writes each row's bytes as a file of its own below folder, on a file system that all executors see; (name, bytes) of what was written.
 
     A file is written under a name of the attempt and then renamed, so a lost executor leaves no half file under a result's name.
+    What is there already is never replaced: the same bytes, as of an attempt that was lost, count as written, others are an error.
     """
     from ..operators.tables import prepare
 
@@ -102,11 +109,17 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
             for n, c in zip(b.column(0).to_pylist(), b.column(1)):
                 target = f"{base}/{n}"
                 fs.create_dir(target.rpartition("/")[0], recursive=True)
+                data = c.as_py()
+                sizes.append(len(data))
+                if fs.get_file_info(target).type != pafs.FileType.NotFound:
+                    with fs.open_input_stream(target) as old:
+                        if old.read() != data:
+                            raise FileExistsError(target)
+                    continue
                 draft = f"{target}.{uuid.uuid4().hex}"
                 with fs.open_output_stream(draft) as out:
-                    out.write(c.as_py())
+                    out.write(data)
                 fs.move(draft, target)
-                sizes.append(len(c.as_py()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["name", "bytes"])
 
     return df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(run, "name string, bytes long")

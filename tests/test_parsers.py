@@ -228,8 +228,12 @@ def test_policy_levels():
 def test_planner():
     s = planner.Settings
     names = lambda *a: [[c.name for c in g] for g in planner.stages(*a)]
-    assert names("png", {}, s(effort="high")) == [["metadata"], ["oxipng-6", "oxipng-6-alpha"]]
-    assert names("png", {}, s(lossy=True, effort="fast")) == [["metadata"], ["oxipng-2"], ["quantizr"], ["oxipng-2"]]
+    assert names("png", {}, s(effort="high")) == [["metadata"], ["oxipng -o 2 -f 0-9 --zc 14"]]
+    assert names("png", {}, s(lossy=True, effort="fast")) == [["metadata"], ["oxipng -o 2"], ["quantizr"], ["oxipng -o 2"]]
+    assert len(names("png", {}, s(effort="max"))[1]) == 2 and len(names("png", {"is_animated": True}, s(effort="max"))[1]) == 1
+    assert names("webp", {"is_lossless_webp": True}, s()) == [["cwebp -z 9", "cwebp -z 7"]] and names("webp", {"is_lossless_webp": True}, s(effort="fast")) == [["cwebp -z 7"]]
+    required = lambda *a: [c.required for g in planner.stages(*a) for c in g]
+    assert required("heic", {}, s(lossy=True)) == [False, False] and required("heic", {"bits": 10}, s(lossy=True)) == [True] and required("heic", {}, s()) == [True]
     assert names("jpeg", {"jpeg_quality": 85}, s(lossy=True)) == [["metadata"], ["jpeg-scan"]] and names("jpeg", {}, s(lossy=True))[0] == ["jpegli"]
     assert names("gif", {}, s()) == [] and names("jxl", {"from_jpeg": True}, s()) == [["jxl-recompress"]]
     assert names("svg", {"is_utf16": True, "is_uncheckable": True}, s()) == [["utf-8"]] and names("heic", {"bits": 10}, s(lossy=True)) == [["metadata"]]
@@ -318,3 +322,65 @@ def test_fields_of_files():
     got = fields.of_jpeg(photo([(0xED, b"Photoshop 3.0\0" + iim), (0xFE, b"hi"), (0xE1, b"Exif\0\0broken")]))
     assert [(f[0], f[4]) for f in got] == [("iim", 2), ("comment", 8), ("exif", 8)]
     assert fields.of_webp(riff.write([("VP8L", b"\x2f\0\0\0\0"), ("EXIF", exif)]))[0][2] == "0x010F"
+
+
+def test_regions_and_manifests():
+    from mediaframe.parsers import regions
+
+    text, words = b"x" * 5, b"jumb c2pa"
+    jpg = lambda marker: b"\xff\xd8" + struct.pack(">2BH", 0xFF, marker, len(words) + 2) + words + b"\xff\xda\0\x08\x01\x01\0\0\x3f\0" + b"\xff\xd9"
+    assert regions.regions(jpg(0xE1)) == [("E1", words)] and regions.regions(jpg(0xDB)) == []
+    assert regions.holds_manifest(jpg(0xEB), "jpeg") and not regions.holds_manifest(jpg(0xE1), "jpeg")
+    assert regions.regions(words + text) == [("", words + text)] and regions.holds_manifest(words, "png")
+    image = lambda kind: png.write([("IHDR", struct.pack(">2I5B", 1, 1, 8, 0, 0, 0, 0)), (kind, words), ("IEND", b"")])
+    assert regions.holds_manifest(image("caBX"), "png") and not regions.holds_manifest(image("IDAT"), "png")
+    assert jpeg.holds_video(b"abcSEFT") and not jpeg.holds_video(b"SEFTabc")
+
+
+def test_items_counted_from_the_end_have_their_padding_behind():
+    item = lambda n, p=0: xmp.ContainerItem("", "", n, p)
+    assert xmp.arrangement([item(0), item(10, 5)], 100, 20) == [(85, 95)]
+    assert xmp.arrangement([item(0, 3), item(10, 5), item(4)], 100, 20, False) == [(23, 33), (38, 42)]
+
+
+def test_exif_filter_keeps_interop_and_drops_what_says_nothing():
+    entry = lambda tag, kind, count, value: (tag, kind, count, value)
+    short = lambda tag, n: entry(tag, 3, 1, struct.pack("<H", n))
+    rest = lambda at: struct.pack("<I", at)
+
+    def block(main, exif, interop=()):
+        inner = [*exif, *([entry(0xA005, 4, 1, rest(0))] if interop else [])]
+        first = [*main, entry(0x8769, 4, 1, rest(0))]
+        at = 8 + len(tiff._directory(first, 8, "<"))
+        far = at + len(tiff._directory(inner, at, "<"))
+        out = b"II" + struct.pack("<HI", 42, 8) + tiff._directory([*main, entry(0x8769, 4, 1, rest(at))], 8, "<")
+        return out + tiff._directory([*exif, *([entry(0xA005, 4, 1, rest(far))] if interop else [])], at, "<") + (tiff._directory(list(interop), far, "<") if interop else b"")
+
+    told = lambda data: sorted((e.ifd, e.tag, e.value) for e in tiff.entries(data) if e.tag not in tiff.POINTERS)
+    version, mark = entry(0x9000, 7, 4, b"0232"), entry(1, 2, 4, b"R03\0")
+    whole = block([short(0x0112, 6)], [version, entry(0x829A, 5, 1, struct.pack("<2I", 1, 60))], [mark])
+    assert told(tiff.filtered(whole, lambda *_: True)) == told(whole) and ("interop", 1, b"R03\0") in told(whole)
+    assert told(tiff.filtered(block([short(0x0112, 6)], [version, short(0xA001, 1)]), lambda *_: True)) == [("ifd0", 0x0112, struct.pack("<H", 6))]
+    assert tiff.filtered(block([short(0x0112, 1)], [version]), lambda *_: True) == b""
+    assert len(told(tiff.filtered(block([], [version, short(0xA001, 2)]), lambda *_: True))) == 2
+
+
+def test_srgb_is_known_by_its_id_not_by_its_name():
+    fake = b"\0" * 64 + b"\0\0\0\x01" + b"\0" * 60 + b"sRGB IEC61966-2.1"
+    assert rewrite.srgb_intent(fake) is None and rewrite.srgb_intent(b"") is None
+    named = bytearray(fake)
+    named[84:100] = bytes.fromhex("29f83ddeaff255ae7842fae4ca83390d")
+    assert rewrite.srgb_intent(bytes(named)) is None
+
+
+def test_results_are_never_replaced(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from mediaframe.sources import files
+
+    df = spark.createDataFrame([("a/b.bin", b"one")], "name string, content binary")
+    for _ in range(2):
+        assert [tuple(r) for r in files.write_files(df, str(tmp_path)).collect()] == [("a/b.bin", 3)]
+    with pytest.raises(Exception, match="FileExistsError"):
+        files.write_files(df.withColumn("content", F.lit(b"two")), str(tmp_path)).collect()
+    assert (tmp_path / "a" / "b.bin").read_bytes() == b"one"
