@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import drop_path, prepare, written
 from .shingles import mix, shingle_sets
 
-#: Pieces that the table of hashed element counts travels in; bits of the least and the largest table, which as levels of one byte is 16 MB.
+#: Pieces that the table of hashed element counts travels in; bits of the least and the largest table, which as levels of one byte is 8 MB.
 PIECES = 16
-LEAST_BITS, MOST_BITS = 14, 24
+LEAST_BITS, MOST_BITS = 14, 23
 #: Bytes of text for each counter, below the largest table.
 BYTES_PER_COUNTER = 32
 #: Elements that a task counts at a time.
