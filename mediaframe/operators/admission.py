@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bytesx import PNG_SIGNATURE, be, holds, le, part, raw, starts, u8
 from ..parsers import Malformed, jpeg, xmp
@@ -63,12 +64,12 @@ def has_end_marker(content: Column, fmt: Column) -> Column:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _manifest(content: pd.Series, fmt: pd.Series) -> pd.Series:
     return pd.Series([c is not None and holds_manifest(c, f) for c, f in zip(content, fmt)], dtype="bool")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _structure(content: pd.Series, fmt: pd.Series) -> pd.Series:
     """What the structure of a JPEG or SVG says against changing it."""
 
