@@ -78,10 +78,11 @@ def merge_frames(frames: DataFrame, by: list[str], order: str, picture: str, dur
     return own.groupBy(*by, "frame").agg(F.first(picture).alias(picture), F.sum(F.col(duration).cast("bigint")).alias(duration))
 
 
-def compare_timelines(a: DataFrame, b: DataFrame, by: list[str], order: str, picture: str, duration: str) -> DataFrame:
-    """(by…, same): whether two animations show the same at every instant and last as long. Frames are matched on the instants at which either begins one, so merged frames do not matter."""
+def compare_timelines(a: DataFrame, b: DataFrame, by: list[str], order: str, picture: str, duration: str, least: int = 0) -> DataFrame:
+    """(by…, same): whether two animations show the same at every instant and last as long. Frames are matched on the instants at which either begins one, so merged frames do not matter. A frame lasts `least` at least; one without duration is not shown."""
     out = []
     for df in (a, b):
+        df = df.withColumn(duration, F.greatest(F.col(duration), F.lit(least)))
         t = timeline(df.where(F.col(duration) > 0), by, order, duration)
         out.append(t.select(*by, "start", "end", picture))
     ta, tb = out

@@ -48,7 +48,7 @@ def filter_exif(data: bytes, level: str) -> bytes:
     if level == "keep":
         return data
     try:
-        return tiff.filtered(data, exif_keep(level))
+        return tiff.filtered(data, exif_keep(level), lambda tag: tag in policy.MAKER_NOTE_KEPT and policy.keeps(policy.DISPLAY, level))
     except Malformed:
         return b""
 

@@ -9,6 +9,8 @@ from . import Malformed, need
 
 #: Bytes of a value by type 1 to 13.
 WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+#: Fixed value: the tag of a maker note.
+MAKER_NOTE = 0x927C
 #: Tags that point to further directories, and their names.
 POINTERS = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 
@@ -34,7 +36,8 @@ class Tiff:
             raise Malformed("no TIFF mark")
         self.first = struct.unpack(self.order + "I", mark[4:8])[0]
 
-    def ifd(self, at: int, name: str = "ifd0") -> list[Entry]:
+    def ifd(self, at: int, name: str = "ifd0", lenient: bool = False) -> list[Entry]:
+        """Entries of a directory; one whose value is not there is malformed, or left out if lenient."""
         n = struct.unpack(self.order + "H", need(self.data, at, 2, "directory"))[0]
         out = []
         for k in range(n):
@@ -42,7 +45,8 @@ class Tiff:
             tag, kind, count = struct.unpack(self.order + "2HI", raw[:8])
             size = WIDTHS.get(kind, 0) * count
             place = at + 10 + 12 * k if size <= 4 else struct.unpack(self.order + "I", raw[8:])[0]
-            out.append(Entry(name, tag, kind, count, need(self.data, place, size, "value"), place))
+            if not lenient or (size and place + size <= len(self.data)):
+                out.append(Entry(name, tag, kind, count, need(self.data, place, size, "value"), place))
         return out
 
     def next_ifd(self, at: int) -> int:
@@ -104,6 +108,26 @@ def _directory(fields: list[tuple[int, int, int, bytes]], at: int, o: str) -> by
     return struct.pack(o + "H", len(fields)) + b"".join(head) + struct.pack(o + "I", 0) + tail + b"\0" * (len(tail) % 2)
 
 
+class _Note(Tiff):
+    """Apple's maker note, a directory at byte 14 whose offsets count from the note's start."""
+
+    def __init__(self, data: bytes) -> None:
+        if not data.startswith(b"Apple iOS\0") or data[12:14] not in (b"II", b"MM"):
+            raise Malformed("no note of Apple's")
+        self.data, self.big = data, data[12:14] == b"MM"
+        self.order = ">" if self.big else "<"
+
+
+def maker_note(data: bytes, keep) -> bytes:
+    """Apple's maker note with the tags that keep(tag) allows; empty if it is another maker's, cannot be read, or none is left."""
+    try:
+        note = _Note(data)
+        kept = [(e.tag, e.kind, e.count, e.value) for e in note.ifd(14, "note", lenient=True) if keep(e.tag)]
+    except Malformed:
+        return b""
+    return data[:14] + _directory(kept, 14, note.order) if kept else b""
+
+
 def _says_something(main: list, exif: list, o: str) -> bool:
     """Whether EXIF entries say more than their version, sRGB, which is the default, and a pixel size beside 72 dots per inch."""
 
@@ -120,12 +144,19 @@ def _says_something(main: list, exif: list, o: str) -> bool:
     return any(told.get(e[0], lambda _: True)(e) for e in exif)
 
 
-def filtered(data: bytes, keep) -> bytes:
-    """The block with the entries that keep(ifd, tag) allows, of the first, the EXIF and the Interop directory; GPS and IFD1 never; empty if nothing is left that says anything."""
+def filtered(data: bytes, keep, keep_note=lambda tag: False) -> bytes:
+    """The block with the entries that keep(ifd, tag) allows, of the first, the EXIF and the Interop directory; GPS and IFD1 never; empty if nothing is left that says anything.
+
+    Of a maker note that is Apple's the tags stay that keep_note(tag) allows.
+    """
     t = Tiff(data)
     o = ">" if t.big else "<"
     own = {k: [(e.tag, e.kind, e.count, e.value) for e in entries(data) if e.ifd == k and e.tag not in POINTERS and keep(k, e.tag)] for k in ("ifd0", "exif", "interop")}
     main, exif, interop = own["ifd0"], own["exif"], own["interop"]
+    for e in entries(data):
+        note = maker_note(e.value, keep_note) if e.ifd == "exif" and e.tag == MAKER_NOTE and not keep(e.ifd, e.tag) else b""
+        if note:
+            exif.append((e.tag, 7, len(note), note))
     if not interop and not _says_something(main, exif, o):
         exif = []
     if not exif and not interop:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import bytesx as bx
 from .functions import scalars as sc
-from .operators import admission, compare, entropy, fields, naming, report, rewrite, selection, tables
+from .operators import admission, compare, entropy, fields, naming, report, rewrite, selection, tables, verify
 from .parsers import jpeg
 from .plans import planner, policy
 from .sources import files
@@ -701,3 +701,177 @@ def metadata_regions(spark, d):
     content = F.when(k == 0, jpg).when(k == 1, bx.png(bx.png_header(1, 1), bx.png_chunk("tEXt", F.concat(bx.raw(b"Comment\0"), t)), bx.png_chunk("IDAT", t))).otherwise(bx.webp(bx.riff_chunk("VP8L", t), bx.riff_chunk("EXIF", t)))
     got = tables.metadata_regions(_t(spark, d, "documents").select("doc_id", content.alias("content")), ["doc_id"])
     return got.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("data")).cast("bigint").alias("bytes"))
+
+
+_PAIR = "SELECT doc_id, doc_id % 12 AS r, doc_id // 12 % 2 AS v, doc_id // 24 % 3 > 0 AS exact, ['jpeg', 'heic', 'png', 'gif', 'webp', 'svg', 'jxl'][doc_id % 7 + 1] AS format FROM documents"
+
+
+@query(f"""WITH f AS ({_PAIR}), m AS (SELECT *, format IN ('jpeg', 'heic') AS paired, format IN ('png', 'webp', 'heic') AS colour, CASE WHEN r = 0 THEN 'chunk order' WHEN format = 'jxl' THEN CASE WHEN r < 6 THEN 'rebuilt file differs' END
+  WHEN format = 'svg' THEN CASE WHEN r < 6 AND v = 0 THEN 'looks different' WHEN r < 6 THEN 'text changed' END WHEN r = 1 THEN 'unreadable' WHEN r = 2 THEN 'different dimensions' WHEN r = 3 THEN 'orientation lost'
+  WHEN r = 4 THEN 'resolution changed' WHEN r = 5 AND (v = 0 OR format IN ('jpeg', 'heic')) THEN 'animation or second image lost' WHEN r <= 6 AND format IN ('jpeg', 'heic') THEN 'color profile lost'
+  WHEN r <= 7 AND format IN ('jpeg', 'heic') THEN 'animation or second image lost' WHEN r <= 8 AND format IN ('jpeg', 'heic') THEN 'HDR brightness changed' WHEN r <= 9 THEN 'unreadable' WHEN NOT exact THEN NULL
+  WHEN r = 10 AND format = 'jpeg' THEN 'pixels changed' WHEN r = 10 THEN 'animation timing changed' WHEN format IN ('png', 'webp', 'heic') AND v = 1 THEN 'pixels changed' END AS rejected FROM f)
+SELECT doc_id, rejected, NOT (rejected IS NULL AND colour AND exact) AS hidden_kept FROM m""")
+def verdict(spark, d):
+    """Pairs that break a rule and all that come after it, in seven formats: the first that counts for the format names the reason."""
+    k = F.col("doc_id")
+    docs = _t(spark, d, "documents").select("doc_id", (k % 12).alias("r"), (F.floor(k / 12) % 2).alias("v"), (F.floor(k / 24) % 3 > 0).alias("exact"))
+    fmt = F.element_at(F.array(*map(F.lit, ("jpeg", "heic", "png", "gif", "webp", "svg", "jxl"))), (k % 7 + 1).cast("int"))
+    r, v = F.col("r"), F.col("v")
+    broken = lambda n, good, bad: F.when(r <= n, F.lit(bad)).otherwise(F.lit(good))
+    facts = {
+        "format": fmt, "structure": F.when(r == 0, "chunk order"), "readable": r > 1, "complete": r > 9, "decodes": r > 9, "a_width": F.lit(640), "b_width": broken(2, 640, 641),
+        "a_height": F.lit(480), "b_height": F.lit(480), "a_orientation": F.lit(6), "b_orientation": broken(3, 6, 1), "a_resolution": verify.resolution(F.lit(None), F.lit(72.0)),
+        "b_resolution": verify.resolution(broken(4, 72.0, 96.0), F.lit(72.0)), "a_browser": F.lit(None).cast("array<int>"), "b_browser": F.lit(None).cast("array<int>"), "a_frames": F.lit(3),
+        "b_frames": F.when(r <= 5, F.when(v == 0, 1).otherwise(2)).otherwise(3), "a_icc": F.lit("p3"), "b_icc": broken(6, "p3", "srgb"), "auxiliary_same": r > 7, "auxiliary": F.lit(1),
+        "a_headroom": F.lit(4.9), "b_headroom": broken(8, 4.9, 1.0), "same_bytes": F.lit(False), "coefficients": broken(10, 0, 1), "a_duration": F.lit(90), "b_duration": broken(10, 90, 80),
+        "pixels": broken(10, "hidden", "changed"), "hidden_may_change": v == 0, "converted": F.when(r < 6, "rebuilt file differs"), "text_same": F.when(v == 1, r >= 6), "looks_different": r < 6,
+    }
+    return verify.verdict(docs.withColumns(facts)).select("doc_id", "rejected", "hidden_kept")
+
+
+@query("""SELECT p_partkey, CAST(coalesce(x, 72.0) AS DOUBLE) AS dpi, CASE WHEN x = 144 AND unit <> 3 AND told THEN p_size * 20 ELSE p_size * 40 END AS shown FROM (
+  SELECT p_partkey, p_size, [0.0, 72.0, 144.0, NULL][p_partkey % 4 + 1] AS x, coalesce([2, 3, NULL][p_partkey // 4 % 3 + 1], 2) AS unit, p_partkey // 12 % 2 = 0 AS told FROM part)""")
+def image_properties(spark, d):
+    """Resolutions of nothing, 72, 144 and none, in inches, centimetres and no unit; half of the files tell half of their size."""
+    k, w = F.col("p_partkey"), F.col("p_size") * 40
+    x = F.element_at(F.array(F.lit(0.0), F.lit(72.0), F.lit(144.0), F.lit(None)), (k % 4 + 1).cast("int"))
+    unit = F.element_at(F.array(F.lit(2), F.lit(3), F.lit(None)), (F.floor(k / 4) % 3 + 1).cast("int"))
+    told = F.when(F.floor(k / 12) % 2 == 0, F.col("p_size") * 20).otherwise(w)
+    return _t(spark, d, "part").select("p_partkey", verify.resolution(x, x)[0].alias("dpi"), verify.browser_size(w, w, x, x, unit, told, told)[0].alias("shown"))
+
+
+@query("""SELECT p_partkey, CASE WHEN k % 7 > 0 AND k % 3 = k % 5 AND k % 2 = k // 2 % 2 THEN 'same' WHEN k % 7 > 0 AND k % 4 = 0 THEN 'hidden' ELSE 'changed' END AS pixels FROM (SELECT p_partkey, p_partkey AS k FROM part)""")
+def under_alpha(spark, d):
+    """Frames of two pixels: the first transparent or not in each, the second opaque and sometimes another."""
+    k, n = F.col("p_partkey"), lambda *xs: F.array(*[(x if not isinstance(x, int) else F.lit(x)).cast("bigint") for x in xs])
+    a = n(k % 3, 1, 2, k % 2, 5, 6, 7, 255)
+    b = n(k % 5, 1, 2, F.floor(k / 2) % 2, 5, 6, 7, F.when(k % 7 == 0, 254).otherwise(255))
+    return _t(spark, d, "part").select("p_partkey", verify.under_alpha(a, b).alias("pixels"))
+
+
+@query("""SELECT o_orderkey, CAST(s AS INTEGER) AS status, CASE s WHEN 3 THEN 'the decoder reports damaged data' WHEN 1 THEN 'pixels changed' END AS damage FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN 1 WHEN o_orderkey % 7 < 2 AND o_orderkey % 7 > 0 THEN 3 ELSE 0 END AS s FROM orders)""")
+def comparer_status(spark, d):
+    k = F.col("o_orderkey")
+    status = verify.comparer_status(F.when(k % 5 > 0, True), k % 7 * (k % 7 < 2).cast("int"), F.when(k % 3 < 2, k % 3 == 1))
+    return _t(spark, d, "orders").select("o_orderkey", status.alias("status"), verify.damage(status).alias("damage"))
+
+
+@query("""SELECT file, exact, count(*) FILTER (bad) = 0 AS auxiliary_same, count(*) AS auxiliary FROM (
+  SELECT l_orderkey AS file, exact, l_partkey, CASE WHEN exact THEN l_partkey % 11 = 0 ELSE l_partkey % 7 = 0 OR l_partkey % 5 = 0 END AS bad
+  FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), (VALUES (true), (false)) AS e(exact)) GROUP BY file, exact""")
+def auxiliary_images(spark, d):
+    """Parts of an order as auxiliary images: other data, another size, samples that are far or near."""
+    k = F.col("l_partkey")
+    own = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), "l_partkey").distinct()
+    flat = F.lit(None).cast("array<double>")
+    arr = lambda *xs: F.array(*map(F.lit, xs))
+    a = own.select("file", k.alias("kind"), k.alias("data"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.when(k % 5 == 0, arr(1.0, 2.0, 3.0)).when(k % 9 == 0, arr(0.0, 100.0)).otherwise(flat).alias("samples"))
+    b = own.select("file", k.alias("kind"), F.when(k % 11 == 0, -1 - k).otherwise(k).alias("data"), F.when(k % 7 == 0, 9).otherwise(8).alias("width"), F.lit(8).alias("height"),
+                   F.when(k % 5 == 0, arr(1.0, 2.0, 4.0)).when(k % 9 == 0, arr(0.5, 100.0)).otherwise(flat).alias("samples"))
+    return verify.auxiliary_same(a, b, ["file"], True).withColumn("exact", F.lit(True)).unionByName(verify.auxiliary_same(a, b, ["file"], False).withColumn("exact", F.lit(False)))
+
+
+@query("""SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 3 > 0 AND (l_returnflag <> 'A' OR l_linenumber % 4 = 3)""")
+def maker_notes_left(spark, d):
+    """Lines as tags: of Apple's and of another maker, of a tag for display and of one that is not; an order's level is keep, none or private."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    tags = _t(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "A", "Apple").otherwise("Canon").alias("maker"), pick((17, 33, 48, 8), F.col("l_linenumber") % 4).alias("tag"),
+                                           pick(("keep", "none", "private"), F.col("l_orderkey") % 3).alias("level"))
+    return verify.maker_notes_left(tags, ["l_orderkey"], F.col("level"))
+
+
+@query("""SELECT p_partkey, m IN (192, 193, 194, 195) AND p = 8 AND c IN (1, 3) AS reads, CASE WHEN k % 2 = 0 THEN k % 3 = 0 AND k % 4 = 0 AND m IN (192, 193, 194, 195) AND p = 8 AND c IN (1, 3) ELSE k % 4 = 0 OR k % 5 > 0 OR (k % 7 = 1 AND k % 3 = 0) END AS may FROM (
+  SELECT p_partkey, p_partkey AS k, 192 + p_partkey % 6 AS m, 8 + p_partkey % 5 // 4 * 4 AS p, p_partkey % 4 + 1 AS c FROM part)""")
+def encoding_rules(spark, d):
+    k = F.col("p_partkey")
+    reads = verify.reads_for_encoding(k % 6 + 192, F.when(k % 5 == 4, 12).otherwise(8), k % 4 + 1)
+    may = verify.may_change(k % 4, k % 2 == 0, k % 3 == 0, reads, k % 5 == 0, F.when(k % 7 == 1, "container").when(k % 7 == 2, "multiPicture"), k % 3 == 0)
+    return _t(spark, d, "part").select("p_partkey", reads.alias("reads"), may.alias("may"))
+
+
+_NTH = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1"
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as the images of a file, numbered from 0."""
+    return _t(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE)) - 1)
+
+
+@query(f"""WITH i AS (SELECT *, {_NTH} AS n FROM lineitem), c AS (SELECT l_orderkey, min(n) FILTER (n > 0 AND l_returnflag <> 'N' AND l_partkey % 9 = 0) AS bad, count(*) FILTER (l_suppkey % 8 = 0 AND l_linestatus <> 'F') AS g FROM i GROUP BY 1)
+SELECT l_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'images lost or added' WHEN bad IS NOT NULL THEN 'image ' || (bad + 1) || ' changed' ELSE 'data between or after the images changed' END AS violation
+FROM c LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' OR bad IS NOT NULL OR g > 0
+UNION ALL SELECT o_orderkey, 'images lost or added' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def image_pairs(spark, d):
+    """Lines as images: some changed that may not, some with other data behind them, orders of one status with one image more."""
+    i = _images(spark, d)
+    gap = F.col("l_linestatus")
+    a = i.select("l_orderkey", "n", F.col("l_partkey").alias("digest"), gap.alias("gap"), (gap == "F").alias("gap_stays"), ((F.col("n") == 0) | (F.col("l_returnflag") == "N")).alias("may_change"))
+    kept = F.when(gap == "F", gap).when(F.col("l_suppkey") % 8 == 0, gap).otherwise("")
+    b = i.select("l_orderkey", "n", F.when(F.col("l_partkey") % 9 == 0, -1).otherwise(F.col("l_partkey")).alias("digest"), kept.alias("gap"))
+    more = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(99).alias("n"), F.lit(1).cast("bigint").alias("digest"), F.lit("").alias("gap"))
+    return verify.images_violation(a, b.unionByName(more), ["l_orderkey"])
+
+
+@query(f"""SELECT l_orderkey, string_agg(l_partkey || coalesce(CASE WHEN l_linestatus = 'F' THEN l_linestatus END, ''), '' ORDER BY n) AS content FROM (SELECT *, {_NTH} AS n FROM lineitem) GROUP BY 1""")
+def joined_images(spark, d):
+    i = _images(spark, d).withColumns({"content": F.encode(F.col("l_partkey").cast("string"), "UTF-8"), "gap": F.encode(F.when(F.col("l_linestatus") == "F", F.col("l_linestatus")), "UTF-8")})
+    return verify.joined_images(i, ["l_orderkey"], "n", "content", "gap").select("l_orderkey", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("""SELECT p.l_orderkey, CAST(p.l_linenumber AS INTEGER) AS l_linenumber, p.l_partkey, CAST(p.l_partkey + coalesce(sum(c.delta), 0) AS BIGINT) AS moved
+FROM (SELECT *, row_number() OVER () AS id FROM lineitem) p LEFT JOIN (SELECT l_orderkey, l_suppkey * 15 AS e, CAST(l_quantity AS BIGINT) - 25 AS delta FROM lineitem) c ON c.l_orderkey = p.l_orderkey AND c.e <= p.l_partkey
+GROUP BY p.id, p.l_orderkey, p.l_linenumber, p.l_partkey""")
+def moved_places(spark, d):
+    """Lines as places in a file, and as changes of its length that end somewhere."""
+    t = _t(spark, d, "lineitem")
+    changes = t.select("l_orderkey", (F.col("l_suppkey") * 15).alias("e"), (F.col("l_quantity").cast("bigint") - 25).alias("delta"))
+    points = t.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey")
+    return verify.moved(points, "l_partkey", changes, "e", "delta", ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "moved")
+
+
+@query("""SELECT o_orderkey, CAST(CASE WHEN refused THEN 100 ELSE size END AS BIGINT) AS final_size, lossy AND NOT back AND NOT refused AS final_lossy,
+  CASE WHEN refused THEN 'metadataNotFilterable' WHEN size = 100 AND back THEN 'resultRejected' WHEN size = 100 THEN 'alreadyOptimal' END AS final_reason FROM (
+  SELECT *, size <> 100 AND fmt NOT IN ('svg', 'gif') AND k % 7 = 0 AS refused FROM (SELECT *, CASE WHEN back THEN 90 + k % 11 ELSE CASE WHEN lossy THEN 50 ELSE 90 + k % 11 END END AS size FROM (
+  SELECT o_orderkey, o_orderkey AS k, o_orderkey % 2 = 0 AS lossy, o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AS back, ['jpeg', 'svg', 'gif', 'png'][o_orderkey % 4 + 1] AS fmt FROM orders)))""")
+def settled(spark, d):
+    k = F.col("o_orderkey")
+    lossless = (k % 11 + 90).cast("bigint")
+    ends = _t(spark, d, "orders").select(
+        "o_orderkey", F.element_at(F.array(*map(F.lit, ("jpeg", "svg", "gif", "png"))), (k % 4 + 1).cast("int")).alias("format"), F.lit(100).cast("bigint").alias("original"),
+        F.when(k % 2 == 0, 50).otherwise(lossless).alias("size"), (k % 2 == 0).alias("lossy"), lossless.alias("lossless_size"), (k % 3 == 0).alias("chosen_fails"), (k % 7 == 0).alias("metadata_fails"),
+    )
+    return verify.settled(ends).select("o_orderkey", "final_size", "final_lossy", "final_reason")
+
+
+@query("""SELECT k, CASE WHEN r THEN 'extra' ELSE 'missing' END AS side FROM (SELECT coalesce(o_custkey, c_custkey) AS k, o_custkey IS NOT NULL AS r, c_custkey IS NOT NULL AS e
+  FROM (SELECT DISTINCT o_custkey FROM orders) FULL JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey) WHERE r <> e""")
+def unexpected(spark, d):
+    """Customers that ordered, against those that are in credit."""
+    reported = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    return verify.unexpected(reported, _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), ["k"])
+
+
+@query("""SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY length(coalesce(text, '')), doc_id) - 1 AS i, count(*) OVER (PARTITION BY source, lang) AS n FROM documents)
+WHERE i = n // 2 OR i = n * 3 // 4""")
+def middle_and_upper(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "lang", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return verify.middle_and_upper(docs, ["source", "lang"], "size", "doc_id").drop("size")
+
+
+@query(f"""SELECT doc_id, CASE WHEN reason = 'damaged' AND lang IS NULL THEN '{verify.DAMAGED_SOMEHOW}' ELSE replace(said, '%s', coalesce(lang, '')) END AS message FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, doc_id % {len(verify.MESSAGES)} AS i FROM documents) JOIN (VALUES {", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(verify.MESSAGES.items()))}) m(i, reason, said) USING (i)""")
+def messages(spark, d):
+    names = F.array(*map(F.lit, verify.MESSAGES))
+    reason = F.element_at(names, (F.col("doc_id") % len(verify.MESSAGES) + 1).cast("int"))
+    return _t(spark, d, "documents").select("doc_id", verify.message(reason, F.when(F.col("doc_id") % 5 > 0, F.col("lang"))).alias("message"))
+
+
+@query("SELECT DISTINCT conv_id, conv_id % 2 = 0 AS same FROM conversations")
+def timeline_least(spark, d):
+    """Turns as frames, some without duration: against themselves at one unit at least, and, in odd conversations, with frames that last longer."""
+    ms = F.length(F.coalesce("text", F.lit(""))) % 3
+    t = _t(spark, d, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), ms.alias("ms"))
+    b = t.withColumn("ms", F.greatest("ms", F.lit(1)) + F.col("conv_id") % 2)
+    return compare.compare_timelines(t, b, ["conv_id"], "turn", "role", "ms", least=1)

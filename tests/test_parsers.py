@@ -384,3 +384,42 @@ def test_results_are_never_replaced(spark, tmp_path):
     with pytest.raises(Exception, match="FileExistsError"):
         files.write_files(df.withColumn("content", F.lit(b"two")), str(tmp_path)).collect()
     assert (tmp_path / "a" / "b.bin").read_bytes() == b"one"
+
+
+def note(entries, order=">", maker=b"Apple iOS\0"):
+    """A maker note: values over four bytes behind the directory, offsets from the note's start."""
+    head, tail, base = [], b"", 14 + 2 + 12 * len(entries) + 4
+    for tag, kind, count, value in entries:
+        spot = value.ljust(4, b"\0") if len(value) <= 4 else struct.pack(order + "I", base + len(tail))
+        tail += value if len(value) > 4 else b""
+        head.append(struct.pack(order + "2HI", tag, kind, count) + spot)
+    return maker + b"\0\1" + (b"MM" if order == ">" else b"II") + struct.pack(order + "H", len(entries)) + b"".join(head) + bytes(4) + tail
+
+
+@pytest.mark.parametrize("order", [">", "<"])
+def test_maker_note_keeps_what_is_for_display(order):
+    ratio = struct.pack(order + "2i", 3, 7)
+    whole = note([(8, 4, 1, struct.pack(order + "I", 5)), (17, 2, 6, b"ABCDE\0"), (33, 10, 1, ratio), (48, 10, 1, ratio)], order)
+    shown = lambda tag: tag in policy.MAKER_NOTE_KEPT
+    kept = tiff._Note(tiff.maker_note(whole, shown)).ifd(14)
+    assert [(e.tag, e.value) for e in kept] == [(17, b"ABCDE\0"), (33, ratio), (48, ratio)]
+    assert tiff.maker_note(note([(8, 3, 1, b"\0\1")], order), shown) == b""
+    assert tiff.maker_note(whole.replace(b"Apple", b"Ample"), shown) == b""
+    assert tiff.maker_note(whole[:20], shown) == b"" and tiff.maker_note(b"", shown) == b""
+    # An entry whose value lies outside is left out, the others stay.
+    cut = tiff.maker_note(whole[:-8], shown)
+    assert [e.tag for e in tiff._Note(cut).ifd(14)] == [17, 33]
+
+
+def test_exif_keeps_the_part_of_a_maker_note_that_is_for_display():
+    ratio = struct.pack(">2i", 3, 7)
+    own = note([(8, 4, 1, bytes(4)), (33, 10, 1, ratio)])
+    exif_at = 8 + 2 + 12 + 4
+    data = b"MM\0*" + struct.pack(">I", 8) + struct.pack(">H2HII", 1, 0x8769, 4, 1, exif_at) + bytes(4)
+    data += struct.pack(">H2HII", 1, 0x927C, 7, len(own), exif_at + 18) + bytes(4) + own
+    for level in ("none", "copyright", "private"):
+        out = rewrite.filter_exif(data, level)
+        left = [e.value for e in tiff.entries(out) if e.tag == 0x927C]
+        assert len(left) == 1 and [e.tag for e in tiff._Note(left[0]).ifd(14)] == [33]
+    other = data.replace(b"Apple", b"Ample")
+    assert rewrite.filter_exif(other, "private") == b"" and rewrite.filter_exif(other, "keep") == other

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mediaframe import queries
 from mediaframe.functions import bytesx as bx
 from mediaframe.functions import scalars as sc
-from mediaframe.operators import admission, compare, naming, report, selection, tables
+from mediaframe.operators import admission, compare, naming, report, selection, tables, verify
 from mediaframe.plans import codecs, planner, policy
 
 DATA = "/root/testdata/sf0.001"
@@ -188,3 +188,21 @@ def test_command_line():
     for bad in (["x", "--to", "jxl", "--lossy"], ["x", "--suffix", "a", "--output", "b"], ["x", "--quality", "0"], ["x", "--suffix", " "]):
         with pytest.raises(SystemExit):
             cli.arguments(bad)
+
+
+def test_verify_without_rows_and_with_nulls(spark):
+    kinds = "f int, kind int, data int, width int, height int, samples array<double>"
+    none = spark.createDataFrame([], kinds)
+    one = spark.createDataFrame([(1, 1, None, None, None, None)], kinds)
+    assert verify.auxiliary_same(none, none, ["f"], True).count() == 0
+    assert [tuple(r) for r in verify.auxiliary_same(one, one, ["f"], True).collect()] == [(1, True, 1)]
+    assert [tuple(r) for r in verify.auxiliary_same(one, none, ["f"], False).collect()] == [(1, False, 0)]
+    images = spark.createDataFrame([(1, 0, "a", "", True, True), (1, 1, "b", None, False, True)], "f int, n int, digest string, gap string, may_change boolean, gap_stays boolean")
+    assert verify.images_violation(images, images, ["f"]).count() == 0
+    assert [r.violation for r in verify.images_violation(images, images.where("n = 0"), ["f"]).collect()] == ["images lost or added"]
+    a = F.array(*map(F.lit, (1, 2, 3, 0)))
+    assert spark.range(1).select(verify.under_alpha(a, F.array()), verify.under_alpha(F.array(), F.array()), verify.under_alpha(F.lit(None).cast("array<int>"), a)).first()[:] == ("changed", "same", "changed")
+    points = spark.createDataFrame([(1, 5), (2, None)], "f int, at int")
+    changes = spark.createDataFrame([(1, 5, -2), (1, 6, 9)], "f int, e int, d int")
+    assert sorted((r.f, r.moved) for r in verify.moved(points, "at", changes, "e", "d", ["f"]).collect()) == [(1, 3), (2, None)]
+    assert verify.middle_and_upper(spark.createDataFrame([], "g int, s int, t int"), ["g"], "s", "t").count() == 0
